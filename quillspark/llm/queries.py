@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, ngram_join, token_cache
+from . import bpe, decontam, exact_dedup, html_main, ngram_join, packing, quality, token_cache, toxicity
 from ._ship import ship
 from .runtime import new_folder
 
@@ -33,6 +33,29 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(packing.byte_ids(table(spark, sf_dir, "documents")), length=8192)
+    return packed.select(
+        "pack_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.size("doc_ids").cast("long").alias("n_segments"),
+        "doc_ids",
+        "offsets",
+        "cu_seqlens",
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.expr("cast(size(filter(positions, p -> p = 0)) as long)").alias("n_resets"),
+    )
+
+
+def op4_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "quality_score", "quality_kept")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
@@ -45,6 +68,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_cache.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), new_folder(spark, "token-cache"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
@@ -53,9 +80,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_round_trip": op1_bpe_round_trip,
+        "op2_packing": op2_packing,
+        "op4_html_main": op4_html_main,
+        "op5_quality": op5_quality,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_ngram_join": op7_ngram_join,
         "op8_token_counts": op8_token_counts,
+        "op9_toxicity": op9_toxicity,
         "op10_decontaminate": op10_decontaminate,
     }
 

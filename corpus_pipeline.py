@@ -1,6 +1,67 @@
-STAGES = []
+"""A training corpus from raw documents, in stages; each keeps the columns of documents but the last.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm import bpe, decontam, exact_dedup, ngram_join, quality
+from quillspark.llm._ship import ship
+from quillspark.llm.queries import table, tokenizer_path
+from quillspark.llm.runtime import drop_rows, fold_ascii, materialize
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality classifier rejects."""
+    ship(spark)
+    return quality.quality(docs, table(spark, sf_dir, "labels")).where("quality_kept").select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts only the document with the largest identifier."""
+    gone = exact_dedup.deduplicate(docs).where("not kept").select("doc_id", "text_sha256")
+    key = {"doc_id": F.col("doc_id"), "text_sha256": F.sha2(fold_ascii(F.col("text")), 256)}
+    return drop_rows(docs, materialize(gone, "pipeline-copies"), key).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the least identifier."""
+    ship(spark)
+    gone = ngram_join.near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
+    return drop_rows(docs, materialize(gone, "pipeline-near"), {"doc_id": F.col("doc_id")}).select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a benchmark passage."""
+    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
+    return drop_rows(docs, materialize(found, "pipeline-leaks"), {"doc_id": F.col("doc_id")}).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each kept document's token ids."""
+    ship(spark)
+    return bpe.encode(docs, tokenizer_path("byte_bpe_50k.json"), keep=("doc_id", "lang", "source")).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("BPE encoding", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again as the next one's documents."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialize(docs, "pipeline-stage")
+    return docs

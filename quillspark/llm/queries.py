@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, html_main, ngram_join, packing, quality, token_cache, toxicity
+from . import bpe, decontam, exact_dedup, html_main, ngram_join, packing, pii, quality, token_cache, toxicity
 from ._ship import ship
 from .runtime import new_folder
 
@@ -47,6 +47,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, c -> c.kind = {k})) as long)").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
 def op4_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
 
@@ -81,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_round_trip": op1_bpe_round_trip,
         "op2_packing": op2_packing,
+        "op3_personal_data": op3_personal_data,
         "op4_html_main": op4_html_main,
         "op5_quality": op5_quality,
         "op6_exact_dedup": op6_exact_dedup,

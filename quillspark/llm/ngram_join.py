@@ -3,8 +3,9 @@
 Each text becomes the set of its word n-grams, as 64-bit hashes. Texts of equal sets are one node. A node's
 hashes are ordered rarest first (by a count sketch of fixed size, so that any order is right and a common
 passage comes last), and two nodes can link only if they share a hash of their prefixes. Pairs from the join
-on prefix hashes pass the length filter, the positional filter and a suffix filter (the differing bits of
-two hashed bit sets bound the overlap from above) before their whole sets are compared, once.
+on prefix hashes pass the length filter, the positional filter and a suffix filter (the parities of hash
+counts in classes: each hash that only one set has changes one, so differing parities bound the overlap from
+above) before their whole sets are compared, once.
 
 Links are wanted for components, so groups are not expanded into all pairs: first every node of a prefix
 hash is compared with one pivot of that hash, in a few rounds; then only pairs that are still in different
@@ -72,16 +73,34 @@ def shingles(text: str | None, n: int = 5) -> np.ndarray:
     total = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[: len(raw)], dtype=np.uint64)])
     words = _mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
     size = min(n, len(words))
-    out = np.full(len(words) - size + 1, size, np.uint64)
-    for k in range(size):
-        out = _mix(out * np.uint64(0xD6E8FEB86659FD93) + words[k : len(words) - size + 1 + k])
-    return np.unique(out)
+    out, odd = np.full(len(words) - size + 1, size, np.uint64), 1
+    for k in range(size):  # words are mixed already; each place has an odd factor of its own
+        odd = odd * 0xD6E8FEB86659FD93 % (1 << 64)
+        out += words[k : len(words) - size + 1 + k] * np.uint64(odd)
+    return np.unique(_mix(out))
 
 
 def _lanes(tokens: np.ndarray) -> np.ndarray:
-    bits = np.zeros(64 * LANES, np.uint8)
-    bits[(tokens >> np.uint64(40)) % np.uint64(64 * LANES)] = 1
-    return np.packbits(bits).view(np.int64)
+    """The parities of the counts of hashes in 64 * LANES classes."""
+    slot = ((tokens >> np.uint64(40)) % np.uint64(64 * LANES)).astype(np.int64)
+    return np.packbits((np.bincount(slot, minlength=64 * LANES) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _signature(tokens: np.ndarray) -> bytes:
+    """The same with at least two classes for each hash, so about a 32nd of the set's bytes."""
+    size = max(64, 1 << (2 * len(tokens)).bit_length())
+    slot = (tokens & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(slot, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _differing(x: bytes, y: bytes) -> int:
+    """At least so many hashes are in one set only: each changes one parity."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):  # classes of the longer one joined
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _node(tokens: np.ndarray) -> bytes:
@@ -106,27 +125,27 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
     """For each row doc_id, n, node and the bit set; and the tasks' sketches, in slices."""
     kind = docs.schema["doc_id"].dataType
     lanes = [f"b{k}" for k in range(LANES)]
-    schema = f"doc_id {kind.simpleString()}, n long, node binary, {', '.join(f'{b} long' for b in lanes)}, slice int, salt int, counts binary"
+    schema = f"doc_id {kind.simpleString()}, n long, node binary, {', '.join(f'{b} long' for b in lanes)}, sig binary, slice int, salt int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, names = np.zeros(SKETCH, np.uint32), ["doc_id", "n", "node", *lanes, "slice", "salt", "counts"]
+        sketch, names = np.zeros(SKETCH, np.uint32), ["doc_id", "n", "node", *lanes, "sig", "slice", "salt", "counts"]
         ids = None
         for part, texts in _texts(batches):
             sets = [shingles(t, n) for t in texts]
-            for s in sets:
-                np.add.at(sketch, s & np.uint64(SKETCH - 1), 1)
+            slots = (np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64)
+            sketch += np.bincount(slots, minlength=SKETCH).astype(np.uint32)
             bits = np.array([_lanes(s) for s in sets]).reshape(-1, LANES)
             ids = part.column(0)
             blank = lambda t: pa.nulls(len(sets), t)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.binary()), *[pa.array(bits[:, k]) for k in range(LANES)], blank(pa.int32()), blank(pa.int32()), blank(pa.binary())], names
+                [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.binary()), *[pa.array(bits[:, k]) for k in range(LANES)], pa.array([_signature(s) for s in sets], pa.binary()), blank(pa.int32()), blank(pa.int32()), blank(pa.binary())], names
             )
         if ids is not None and sketch.any():
             salt = int(sketch.sum()) % 16
             pieces = [p.tobytes() for p in np.split(sketch, SLICES)]
             blank = lambda t: pa.nulls(SLICES, t)
             yield pa.RecordBatch.from_arrays(
-                [blank(ids.type), blank(pa.int64()), blank(pa.binary()), *[blank(pa.int64())] * LANES, pa.array(range(SLICES), pa.int32()), pa.array([salt] * SLICES, pa.int32()), pa.array(pieces, pa.binary())], names
+                [blank(ids.type), blank(pa.int64()), blank(pa.binary()), *[blank(pa.int64())] * LANES, blank(pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([salt] * SLICES, pa.int32()), pa.array(pieces, pa.binary())], names
             )
 
     return docs.mapInArrow(run, schema)
@@ -210,6 +229,16 @@ def _suffix_fits(a: str, b: str, percent: int) -> Column:
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets are similar enough."""
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, x, y, size = (c.to_pylist() for c in batch.columns)
+            keep = [(100 + percent) * (k - _differing(u, v)) >= 2 * percent * k for u, v, k in zip(x, y, size)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda name, k: nodes.select(F.col("node").alias(name), F.col("sig").alias(f"sig{k}"), F.col("n").alias(f"n{k}"))
+    signed = pairs.join(side("a", 0), "a").join(side("b", 1), "b").select("a", "b", "sig0", "sig1", F.expr("n0 + n1").alias("size"))
+    pairs = materialize(signed.mapInArrow(likely, "a binary, b binary"), "join-likely")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     owners = materialize(nodes.select("node", "owner").join(wanted, "node", "left_semi"), "join-wanted")
     texts = filter_hits(docs, bit_filter(owners, "owner"), [F.col("doc_id")], "hit").where("hit").select("doc_id", "text")
@@ -233,7 +262,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
 
     full = pairs.join(found.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
     links = materialize(full.select("a", "b", "x", "y").mapInArrow(similar, "a binary, b binary"), "join-links")
-    discard(owners, found)
+    discard(owners, found, pairs)
     return links
 
 
@@ -269,7 +298,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = _sketch(profile)
     rows = profile.where("slice is null")
     lanes = [f"b{k}" for k in range(LANES)]
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("owner"), F.first("n").cast("int").alias("n"), *[F.first(b).alias(b) for b in lanes])
+    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("owner"), F.first("n").cast("int").alias("n"), *[F.first(b).alias(b) for b in [*lanes, "sig"]])
     nodes = materialize(nodes, "join-nodes")
 
     # one text for each node, or a few more where the filter lets a copy through

@@ -63,7 +63,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hits = materialize(maybe.join(shared, "digest").select("doc_id", "digest", "body", "keep_id"), "dedup-hits")
     kept = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.max("body").alias("kept_body"))
     kept = materialize(kept, "dedup-kept")
-    unequal = materialize(hits.join(kept, "digest").where("body <> kept_body").select("digest").distinct(), "dedup-unequal")
+    # no distinct here: sharing the join's partitioning, it would keep Spark from splitting a hot digest
+    unequal = materialize(hits.join(kept, "digest").where("body <> kept_body").select("digest"), "dedup-unequal")
     discard(kept)
 
     out = small.join(index, "digest").select("doc_id", "keep_id", "group_size", "digest")
@@ -72,5 +73,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = hits.join(unequal, "digest", "left_semi")
         by_text = rows.groupBy("digest", "body").agg(agg.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         again = rows.select("doc_id", "digest", "body").join(by_text, ["digest", "body"])
-        out = out.join(unequal, "digest", "left_anti").unionByName(again.select("doc_id", "keep_id", "group_size", "digest"))
+        out = out.join(unequal.distinct(), "digest", "left_anti").unionByName(again.select("doc_id", "keep_id", "group_size", "digest"))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RUN, PAGES, BLOCK_PAGES = 8, 3, 512
+RUN, PAGES, BLOCK_PAGES = 8, 3, 128
 #: Hosts with more than a 1000th of all pages, so at most 1000 of them, are dealt over more buckets.
 HOT_SHARE = 1000
 

@@ -311,26 +311,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sided = lambda side: nodes.select(F.col("node").alias(side), F.struct("n", *lanes).alias(f"s{side}"))
     for round_ in range(ROUNDS + 1):
         if roots is None:
-            held = prefixes.withColumn("comp", F.col("node"))
+            held = prefixes.withColumn("comp", F.xxhash64("node"))
         else:
-            held = prefixes.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        pivot = F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), "node", "comp", "n", "place")).alias("p")
-        open_ = held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("top"), pivot).where("low <> top").select("token", "p")
-        open_ = materialize(open_, "join-pivots")
+            # components only grow, so a hash whose nodes are all in one has no part in later rounds either
+            told = prefixes.join(roots, "node", "left").select("token", "node", "n", "place", F.xxhash64(F.coalesce("root", "node")).alias("comp"))
+            told = materialize(told, "join-told")
+            mixed = told.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("top")).where("low <> top").select("token")
+            held = materialize(told.join(mixed, "token", "left_semi"), "join-held")
+            discard(prefixes, told)
+            prefixes = held
         if round_ < ROUNDS:
-            met = held.join(open_, "token").where("comp <> p.comp").where(_fits("n", "place", "p.n", "p.place", percent))
+            if roots is None:  # each node is a component: the pivot is the one of least hash
+                pivots = held.groupBy("token").agg(F.min(F.struct("comp", "node", "n", "place")).alias("p"), F.max("comp").alias("top")).where("p.comp <> top")
+            else:
+                pivots = held.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), "node", "comp", "n", "place")).alias("p"))
+            met = held.join(pivots.select("token", "p"), "token").where("comp <> p.comp").where(_fits("n", "place", "p.n", "p.place", percent))
             met = met.select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
             pairs = met.join(sided("a"), "a").join(sided("b"), "b").where(_suffix_fits("sa", "sb", percent)).select("a", "b")
         else:
-            mixed = held.join(open_.select("token"), "token", "left_semi")
-            own = mixed.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("token")), 1, OWN_TOKENS).alias("own"))
-            mixed = materialize(mixed.join(nodes.select("node", F.struct("n", *lanes).alias("s")), "node").join(own, "node"), "join-mixed")
+            if roots is None:
+                open_ = held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("top")).where("low <> top").select("token")
+                held = held.join(open_, "token", "left_semi")
+            own = held.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("token")), 1, OWN_TOKENS).alias("own"))
+            mixed = materialize(held.join(nodes.select("node", F.struct("n", *lanes).alias("s")), "node").join(own, "node"), "join-mixed")
             x, y = mixed.alias("x"), mixed.alias("y")
             once = F.expr("coalesce(array_min(array_intersect(x.own, y.own)), x.token) = x.token")
             rule = (F.col("x.token") == F.col("y.token")) & F.expr("x.comp < y.comp") & _fits("x.n", "x.place", "y.n", "y.place", percent) & _suffix_fits("x.s", "y.s", percent) & once
             pairs = x.join(y, rule).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
         pairs = materialize(pairs, "join-pairs")
-        discard(open_)
         if pairs.limit(1).count():
             found = _verified(pairs, nodes, docs, n, percent)
             links = found if links is None else materialize(links.union(found), "join-all-links")

@@ -2,7 +2,9 @@
 
 Each text becomes the set of its word n-grams, as 64-bit hashes. Texts of equal sets are one node. A node's
 hashes are ordered rarest first (by a count sketch of fixed size, so that any order is right and a common
-passage comes last), and two nodes can link only if they share a hash of their prefixes. Pairs from the join
+passage comes last), and two nodes can link only if they share a hash of their prefixes. Prefixes that are
+longer by k hashes share k more; so a node with too few hashes that any other long prefix holds links with
+nothing, and ships none (a passage that it has in common with others, or chance, is not enough). Pairs from the join
 on prefix hashes pass the length filter, the positional filter and a suffix filter (the parities of hash
 counts in classes: each hash that only one set has changes one, so differing parities bound the overlap from
 above) before their whole sets are compared, once.
@@ -38,6 +40,8 @@ LANES = 16
 ROUNDS = 2
 #: Least prefix hashes of a node by which a pair that shares several is emitted once.
 OWN_TOKENS = 32
+#: A long prefix has one hash more for each so many hashes of its set.
+SPARE = 8
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers = np.ones(1, np.uint64)
@@ -107,11 +111,16 @@ def _node(tokens: np.ndarray) -> bytes:
     return blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def _prefix(tokens: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
-    """The hashes that cannot all be missing from a partner, rarest first."""
+def _prefix(tokens: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
+    """The hashes of the long prefix, rarest first; how many of them cannot all be missing from a partner; how many any partner has.
+
+    Two linked sets have `least` common hashes, so prefixes of n - least + k have k. A partner is no smaller
+    than `least`, and its k no less than that of a set of this size.
+    """
     count = sketch[tokens & np.uint64(SKETCH - 1)]
     least = -(-percent * len(tokens) // 100)
-    return tokens[np.lexsort((tokens, count))][: len(tokens) - least + 1]
+    first = len(tokens) - least + 1
+    return tokens[np.lexsort((tokens, count))][: first + len(tokens) // SPARE], first, 1 + least // SPARE
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -173,11 +182,11 @@ def _sketch(profile: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray, n: int, percent: int, shared: np.ndarray | None) -> DataFrame:
-    """Each text's prefix hashes; with `shared` (a bit set) only those in it, with node, size and place."""
+    """Each text's long prefix; with `shared` (a bit set) the prefix hashes in it, with node, size and place, of texts that can link."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _texts(batches):
-            found = [_prefix(s, sketch, percent) for t in texts if len(s := shingles(t, n))]
+            found = [_prefix(s, sketch, percent)[0] for t in texts if len(s := shingles(t, n))]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["token"])
 
@@ -187,11 +196,14 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, n: int, percent: int, shared:
             for t in texts:
                 if not len(s := shingles(t, n)):
                     continue
-                first = _prefix(s, sketch, percent)
-                slot = first & np.uint64(FILTER_BITS - 1)
+                long, first, least = _prefix(s, sketch, percent)
+                slot = long & np.uint64(FILTER_BITS - 1)
                 own = np.flatnonzero((shared[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
+                if len(own) < least:
+                    continue
+                own = own[own < first]
                 if len(own):
-                    token.append(first[own].view(np.int64))
+                    token.append(long[own].view(np.int64))
                     place.append(own.astype(np.int32))
                     size += [len(s)] * len(own)
                     node += [_node(s)] * len(own)
@@ -204,7 +216,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, n: int, percent: int, shared:
 
 
 def _shared_bits(tokens: DataFrame) -> np.ndarray:
-    """A bit set (4 MB) of the prefix hashes that more than one text has."""
+    """A bit set (4 MB) of the long prefixes' hashes that more than one text has."""
     slot = F.pmod("token", F.lit(FILTER_BITS))
     twice = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     chunks = twice.groupBy((slot / F.lit(BITMAP_BITS)).cast("int").alias("chunk")).agg(F.bitmap_construct_agg(slot % F.lit(BITMAP_BITS)).alias("bits"))

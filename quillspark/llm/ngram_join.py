@@ -11,7 +11,7 @@ above) before their whole sets are compared, once.
 
 Links are wanted for components, so groups are not expanded into all pairs: first every node of a prefix
 hash is compared with one pivot of that hash, in a few rounds; then only pairs that are still in different
-components are joined, all of them, each at its least common prefix hash. No link between components is lost.
+components are joined, all of them. No link between components is lost.
 
 Defined results: a null or blank text has no n-grams, links with nothing and is its own component; a text of
 fewer words than n is one n-gram; repeated rows share a component and are returned as often as given; rows
@@ -38,8 +38,6 @@ SKETCH, SLICES = 1 << 18, 64
 LANES = 16
 #: Rounds with one pivot for each prefix hash, before all remaining pairs.
 ROUNDS = 2
-#: Least prefix hashes of a node by which a pair that shares several is emitted once.
-OWN_TOKENS = 32
 #: A long prefix has one hash more for each so many hashes of its set.
 SPARE = 8
 
@@ -338,18 +336,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             else:
                 pivots = held.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), "node", "comp", "n", "place")).alias("p"))
             met = held.join(pivots.select("token", "p"), "token").where("comp <> p.comp").where(_fits("n", "place", "p.n", "p.place", percent))
-            met = met.select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
-            pairs = met.join(sided("a"), "a").join(sided("b"), "b").where(_suffix_fits("sa", "sb", percent)).select("a", "b")
+            met = met.select(F.col("node").alias("a"), F.col("p.node").alias("b"))
         else:
             if roots is None:
                 open_ = held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("top")).where("low <> top").select("token")
                 held = held.join(open_, "token", "left_semi")
-            own = held.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("token")), 1, OWN_TOKENS).alias("own"))
-            mixed = materialize(held.join(nodes.select("node", F.struct("n", *lanes).alias("s")), "node").join(own, "node"), "join-mixed")
-            x, y = mixed.alias("x"), mixed.alias("y")
-            once = F.expr("coalesce(array_min(array_intersect(x.own, y.own)), x.token) = x.token")
-            rule = (F.col("x.token") == F.col("y.token")) & F.expr("x.comp < y.comp") & _fits("x.n", "x.place", "y.n", "y.place", percent) & _suffix_fits("x.s", "y.s", percent) & once
-            pairs = x.join(y, rule).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+            x, y = held.alias("x"), held.alias("y")
+            rule = (F.col("x.token") == F.col("y.token")) & F.expr("x.comp < y.comp") & _fits("x.n", "x.place", "y.n", "y.place", percent)
+            met = x.join(y, rule).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        # each pair once, before its bit sets are compared
+        pairs = met.distinct().join(sided("a"), "a").join(sided("b"), "b").where(_suffix_fits("sa", "sb", percent)).select("a", "b")
         pairs = materialize(pairs, "join-pairs")
         if pairs.limit(1).count():
             found = _verified(pairs, nodes, docs, n, percent)

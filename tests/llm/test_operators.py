@@ -125,6 +125,22 @@ def brute_components(texts):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
+def test_long_prefixes_of_linked_sets_have_enough_in_common():
+    rng = np.random.default_rng(5)
+    for percent in (20, 50, 75, 100):
+        sketch = rng.integers(0, 4, ngram_join.SKETCH).astype(np.uint32)
+        for _ in range(1500):
+            a = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 60)).astype(np.uint64))
+            kept = a[rng.random(len(a)) < rng.choice([0.8, 0.9, 1.0])]
+            b = np.unique(np.concatenate([kept, rng.integers(0, 1 << 62, rng.integers(0, 1 + len(a) // 4)).astype(np.uint64)]))
+            common = len(np.intersect1d(a, b))
+            if not len(b) or 100 * common < percent * (len(a) + len(b) - common):
+                continue
+            (x, i, least), (y, j, most) = (ngram_join._prefix(s, sketch, percent) for s in (a, b))
+            assert len(np.intersect1d(x[:i], y[:j])) > 0
+            assert len(np.intersect1d(x, y)) >= max(least, most)
+
+
 def test_near_duplicates(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(400)]

@@ -1,13 +1,15 @@
-"""Main text of web pages: page structure, and a suffix array over each host's token streams.
+"""Main text of web pages: page structure, and runs of tokens that a host's pages repeat.
 
 A page becomes blocks of text, each inside an article or main element, inside page furniture (by tag, role,
-class or id), or neither. The blocks that are neither are decided by repetition: the token streams of a host's
-pages are concatenated, their suffixes sorted (by prefix doubling, up to RUN tokens), and every run of RUN
-tokens or more that occurs in PAGES pages of different content is boilerplate; the unique runs are kept. Inside
-an article nothing is dropped for being repeated, since articles may quote each other.
+class or id), or neither. The blocks that are neither are decided by repetition: every run of RUN tokens or more
+that occurs in PAGES pages of different content, of all pages of the host, is boilerplate; the unique runs are
+kept. Inside an article nothing is dropped for being repeated, since articles may quote each other.
 
-A host's pages are dealt by host and a bucket of the page; hosts with many pages get more buckets, and a task
-takes at most BLOCK_PAGES pages at a time, so no host has to fit into one task.
+A suffix array sorted up to RUN tokens puts suffixes together by their first RUN tokens; here they are put
+together by a 64-bit hash of these and of the host, and pages by one of their tokens, so a host of any size is
+counted as a whole by shuffles of hashes, and no task holds a host. Runs of PART tokens are counted first, the
+one of least hash of each run of RUN: where no other content holds it, none holds the longer run. Only the other
+runs are counted exactly, and the positions of boilerplate are joined back to their pages.
 
 Defined results: a null html counts as empty and gives an empty text; a null or unreadable url counts as the
 host ''; a page in which no text is left gives an empty text; repeated rows are returned as often as given; an
@@ -18,16 +20,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RUN, PAGES, BLOCK_PAGES = 8, 3, 128
-#: Hosts with more than a 1000th of all pages, so at most 1000 of them, are dealt over more buckets.
-HOT_SHARE = 1000
+from .ngram_join import _mix
+from .runtime import BITMAP_BITS, FILTER_BITS, discard, materialize
+
+RUN, PAGES, PART = 8, 3, 4
+#: Tokens kept in a worker's table of hashes; beyond that it is emptied.
+TABLE_SIZE = 400_000
 
 # HTML's element names by their effect on text, and names by which pages mark furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -106,86 +112,137 @@ def blocks(html: str) -> list[tuple[bool, str]]:
     return out
 
 
-def repeated(streams: list[list[str]]) -> list[np.ndarray]:
-    """For each page's tokens, which are covered by a run that pages of PAGES different contents share."""
-    sizes = [len(s) for s in streams]
-    total = sum(sizes) + len(streams)
-    names: dict[str, int] = {}
-    rank = np.empty(total, np.int64)
-    page = np.empty(total, np.int64)
-    same: dict[tuple, int] = {}
-    at = 0
-    for k, s in enumerate(streams):  # a token of its own ends each page
-        rank[at : at + len(s)] = [names.setdefault(t, len(names)) for t in s]
-        rank[at + len(s)] = -1 - k
-        page[at : at + len(s) + 1] = same.setdefault(tuple(s), len(same))
-        at += len(s) + 1
-    _, rank = np.unique(rank, return_inverse=True)
-    covered = np.zeros(total, bool)
-    if total > RUN:
-        length = 1
-        while length < RUN:  # suffixes ranked by their first `length` tokens
-            after = np.zeros(total, np.int64)
-            after[:-length] = rank[length:] + 1
-            _, rank = np.unique(rank * (total + 1) + after, return_inverse=True)
-            length *= 2
-        pair = np.unique(rank * total + page)
-        often = np.bincount(pair // total, minlength=rank.max() + 1) >= PAGES
-        for start in np.flatnonzero(often[rank]):
-            covered[start : start + RUN] = True
-    out, at = [], 0
-    for size in sizes:
-        out.append(covered[at : at + size])
-        at += size + 1
-    return out
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+class Hashes(dict):
+    """The hashes of tokens met so far."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= TABLE_SIZE:
+            self.clear()
+        self[token] = own = _hash(token)
+        return own
+
+
+def _grams(h: np.ndarray, n: int, salt: int) -> np.ndarray:
+    """The hash of each run of n tokens on the host that gave the salt."""
+    size = len(h) - n + 1
+    out, odd = np.full(size, salt, np.uint64), 1
+    for k in range(n):  # each place has an odd factor of its own
+        odd = odd * 0xD6E8FEB86659FD93 % (1 << 64)
+        out += h[k : size + k] * np.uint64(odd)
+    return _mix(out)
+
+
+def stream(own: list[tuple[bool, str]]) -> list[str]:
+    """The tokens of a page that repetition decides."""
+    return [] if any(inside for inside, _ in own) else [t for _, text in own for t in text.split(" ")]
+
+
+def content(host: str, tokens: list[str]) -> int:
+    """What pages of one host have in common if their tokens are the same."""
+    return _hash(host + "\0" + " ".join(tokens)) - (1 << 63)
+
+
+def runs(host: str, tokens: list[str], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of RUN tokens its hash, and 40 bits of the least hash of PART tokens in it."""
+    if len(tokens) < RUN:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    h, salt = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens)), _hash(host)
+    least = np.lib.stride_tricks.sliding_window_view(_grams(h, PART, salt), RUN - PART + 1).min(axis=1)
+    return _grams(h, RUN, salt).view(np.int64), (_mix(least) >> np.uint64(24)).astype(np.int64)
+
 
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, list[str]]]]:
+    """Host and stream of the pages that have one, some pages at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            found = [(host, stream(blocks(html or ""))) for host, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+            yield [(host, tokens) for host, tokens in found if len(tokens) >= RUN]
 
-def main_texts(htmls: list[str]) -> list[str]:
-    """The main texts of pages of one host."""
-    found = [blocks(h) for h in htmls]
-    loose = [[] if any(inside for inside, _ in b) else [t for _, text in b for t in text.split(" ")] for b in found]
-    covers = repeated(loose) if any(loose) else [np.zeros(0, bool)] * len(loose)
-    out = []
-    for own, tokens, covered in zip(found, loose, covers):
-        if tokens:
-            out.append(" ".join(t for t, c in zip(tokens, covered) if not c))
-        else:
-            out.append(" ".join(text for inside, text in own if inside))
+
+def _shared_parts(rows: DataFrame) -> np.ndarray:
+    """A bit for each class of runs of PART tokens: unset, pages of two contents certainly do not share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for pages in _pages(batches):
+            parts = [np.unique(runs(host, tokens, hashes)[1]) for host, tokens in pages]
+            # 32 bits are enough: contents are only taken for one another if all of them are
+            names = [np.full(len(p), content(*page) >> 32, np.int32) for p, page in zip(parts, pages)]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.concatenate(names))], ["part", "content"])
+
+    parts = rows.select("host", "html").mapInArrow(run, "part long, content int")
+    shared = parts.groupBy("part").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b")
+    slot = F.col("part") % FILTER_BITS
+    chunks = shared.select((slot / BITMAP_BITS).cast("int").alias("chunk"), (slot % BITMAP_BITS).alias("bit")).groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in chunks.collect():  # FILTER_BITS in all
+        at = row["chunk"] * (BITMAP_BITS // 8)
+        out[at : at + BITMAP_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
     return out
 
 
+def _covers(rows: DataFrame) -> DataFrame:
+    """For each content with boilerplate: the positions at which runs begin that PAGES contents of its host hold."""
+    shared = rows.sparkSession.sparkContext.broadcast(_shared_parts(rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, bits = Hashes(), shared.value
+        for pages in _pages(batches):
+            for host, tokens in pages:
+                keys, parts = runs(host, tokens, hashes)
+                slots = parts % FILTER_BITS
+                at = np.flatnonzero(bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(np.full(len(at), content(host, tokens))), pa.array(at.astype(np.int32))], ["run", "content", "at"])
+
+    found = materialize(rows.select("host", "html").mapInArrow(run, "run long, content long, at int"), "html-runs")
+    often = found.select("run", "content").distinct().groupBy("run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PAGES)
+    covers = materialize(found.join(often, "run", "left_semi").groupBy("content").agg(F.collect_set("at").alias("starts")), "html-covers")
+    discard(found)
+    return covers
+
+
+def main_text(own: list[tuple[bool, str]], starts: list[int] | None) -> str:
+    """The page's text without the runs of RUN tokens that begin at these positions of its stream."""
+    tokens = stream(own)
+    if not tokens:
+        return " ".join(text for inside, text in own if inside)
+    covered = np.zeros(len(tokens), bool)
+    for start in starts or []:
+        covered[start : start + RUN] = True
+    return " ".join(t for t, c in zip(tokens, covered) if not c)
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each row of pages: page_id, url, text, n_chars."""
-    spark = pages.sparkSession
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    counts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = counts.where(F.col("n") > max(BLOCK_PAGES, total // HOT_SHARE)).select("host", F.ceil(F.col("n") / BLOCK_PAGES).alias("buckets"))
-    dealt = rows.join(F.broadcast(hot), "host", "left")  # at most HOT_SHARE rows
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("buckets", F.lit(1)))).drop("buckets")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "host", "bucket").sortWithinPartitions("host", "bucket", "page_id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
-
-        def done() -> pd.DataFrame:
-            texts = main_texts([h or "" for _, _, h in held])
-            frame = pd.DataFrame({"page_id": pd.array([i for i, _, _ in held], dtype=object), "url": [u for _, u, _ in held], "text": texts})
-            held.clear()
-            return frame
-
-        last = None
-        for batch in batches:
-            for i, url, html, key in zip(batch["page_id"], batch["url"], batch["html"], zip(batch["host"], batch["bucket"])):
-                if held and (key != last or len(held) >= BLOCK_PAGES):
-                    yield done()
-                last = key
-                held.append((None if pd.isna(i) else i, url, html))
-        if held:
-            yield done()
-
+    rows = pages.select(host.alias("host"), F.col(html_col).alias("html"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
+    covers = _covers(rows)
     kind = pages.schema[id_col].dataType.simpleString()
-    out = dealt.mapInPandas(run, f"page_id {kind}, url string, text string")
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    block = pa.list_(pa.struct([("inside", pa.bool_()), ("text", pa.string())]))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                found = [blocks(html or "") for html in part.column(1).to_pylist()]
+                names = [content(host, stream(own)) for host, own in zip(part.column(0).to_pylist(), found)]
+                lists = pa.array([[{"inside": inside, "text": text} for inside, text in own] for own in found], block)
+                yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), pa.array(names, pa.int64()), lists], ["page_id", "url", "content", "blocks"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                texts = [main_text([(b["inside"], b["text"]) for b in own], starts) for own, starts in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    parsed = rows.mapInArrow(parse, f"page_id {kind}, url string, content long, blocks array<struct<inside:boolean,text:string>>")
+    joined = parsed.join(covers, "content", "left").select("page_id", "url", "blocks", "starts")
+    return joined.mapInArrow(finish, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

@@ -221,6 +221,20 @@ def test_html(spark):
     assert html_main.extract(rows.limit(0)).count() == 0
 
 
+def test_html_counts_the_whole_host(spark):
+    notice = lambda k: " ".join(f"notice{k}word{i}" for i in range(9))
+    page = lambda i: " ".join(f"own{i}word{k}" for k in range(10))
+    # each notice of the first 20 stands on 3 of 600 pages, the others on 2 contents only
+    of = lambda i: i % 200 if i % 200 < 20 else 20 + i % 200 if i < 400 else None
+    rows = [(i, "http://big/", (f"<div>{notice(of(i))}</div>" if of(i) is not None else "") + f"<p>{page(i)}") for i in range(600)]
+    rows += [(i + 1000, "http://big/", rows[i][2]) for i in (30, 31)]  # copies are of the same content
+    got = {r["page_id"]: r["text"] for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 602
+    for i, text in got.items():
+        k = of(i % 1000)
+        assert text == (page(i % 1000) if k is None or k < 20 else f"{notice(k)} {page(i % 1000)}"), i
+
+
 def labelled(spark):
     rng = random.Random(6)
     calm, bad = [f"calm{i}" for i in range(80)], ["idiot", "moron", "scum"]

@@ -1,9 +1,11 @@
 """Main text of web pages: page structure, and runs of tokens that a host's pages repeat.
 
-A page becomes blocks of text, each inside an article or main element, inside page furniture (by tag, role,
-class or id), or neither. The blocks that are neither are decided by repetition: every run of RUN tokens or more
-that occurs in PAGES pages of different content, of all pages of the host, is boilerplate; the unique runs are
-kept. Inside an article nothing is dropped for being repeated, since articles may quote each other.
+A page becomes blocks of text; those inside page furniture (by tag, role, class or id) are dropped. The others are
+all examined for repetition: every run of RUN tokens or more that occurs in PAGES pages of different content, of
+all pages of the host, is boilerplate; the unique runs are kept. Outside an article or main element boilerplate is
+dropped wherever it stands. Inside one, where articles may quote each other, it is dropped by whole blocks: a
+block stays whole if it is a heading, a quotation or preformatted, if some of its tokens are the page's own, or if
+boilerplate makes up more than half of the article's tokens, which then is a near copy of other articles.
 
 A suffix array sorted up to RUN tokens puts suffixes together by their first RUN tokens; here they are put
 together by a 64-bit hash of these and of the host, and pages by one of their tokens, so a host of any size is
@@ -46,6 +48,9 @@ MARKED = re.compile(
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+#: Blocks that stay inside an article though other pages hold them.
+PROTECTED = frozenset("h1 h2 h3 h4 h5 h6 blockquote pre".split())
+OUTSIDE, ARTICLE, KEPT = 0, 1, 2
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
@@ -62,18 +67,18 @@ def _is_furniture(name: str, attrs: str, inside: bool) -> bool:
     return False
 
 
-def blocks(html: str) -> list[tuple[bool, str]]:
-    """The page's blocks in order, without furniture: (whether inside an article or main element, text)."""
-    out: list[tuple[bool, str]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture, main
+def blocks(html: str) -> list[tuple[int, str]]:
+    """The page's blocks in order, without furniture: (OUTSIDE, ARTICLE or, protected inside an article, KEPT; text)."""
+    out: list[tuple[int, str]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, furniture, main, protected
     text: list[str] = []
-    hidden = main = 0
+    hidden = main = kept = 0
 
     def end() -> None:
         if text:
             words = " ".join(unescape("".join(text)).split())
             if words:
-                out.append((main > 0, words))
+                out.append((OUTSIDE if not main else KEPT if kept else ARTICLE, words))
             text.clear()
 
     at, n = 0, len(html)
@@ -94,9 +99,10 @@ def blocks(html: str) -> list[tuple[bool, str]]:
         if m[1]:
             if any(x[0] == name for x in stack):
                 while True:
-                    own, furniture, is_main = stack.pop()
+                    own, furniture, is_main, is_kept = stack.pop()
                     hidden -= furniture
                     main -= is_main
+                    kept -= is_kept
                     if own == name:
                         break
         elif name in RAW:
@@ -105,9 +111,10 @@ def blocks(html: str) -> list[tuple[bool, str]]:
                 at = close.end() if close else n
         elif name not in VOID and name != "p":
             furniture, is_main = _is_furniture(name, m[3] or "", main > 0), name in ("article", "main")
-            stack.append((name, furniture, is_main))
+            stack.append((name, furniture, is_main, name in PROTECTED))
             hidden += furniture
             main += is_main
+            kept += name in PROTECTED
     end()
     return out
 
@@ -136,9 +143,9 @@ def _grams(h: np.ndarray, n: int, salt: int) -> np.ndarray:
     return _mix(out)
 
 
-def stream(own: list[tuple[bool, str]]) -> list[str]:
-    """The tokens of a page that repetition decides."""
-    return [] if any(inside for inside, _ in own) else [t for _, text in own for t in text.split(" ")]
+def stream(own: list[tuple[int, str]]) -> list[str]:
+    """The tokens of a page."""
+    return [t for _, text in own for t in text.split(" ")]
 
 
 def content(host: str, tokens: list[str]) -> int:
@@ -208,15 +215,24 @@ def _covers(rows: DataFrame) -> DataFrame:
     return covers
 
 
-def main_text(own: list[tuple[bool, str]], starts: list[int] | None) -> str:
-    """The page's text without the runs of RUN tokens that begin at these positions of its stream."""
-    tokens = stream(own)
-    if not tokens:
-        return " ".join(text for inside, text in own if inside)
-    covered = np.zeros(len(tokens), bool)
-    for start in starts or []:
+def main_text(own: list[tuple[int, str]], starts: list[int] | None) -> str:
+    """The page's text without the boilerplate: the runs of RUN tokens that begin at these positions of its stream."""
+    if not starts:
+        return " ".join(text for _, text in own)
+    lists = [text.split(" ") for _, text in own]
+    covered = np.zeros(sum(map(len, lists)), bool)
+    for start in starts:
         covered[start : start + RUN] = True
-    return " ".join(t for t, c in zip(tokens, covered) if not c)
+    covers = np.split(covered, np.cumsum([len(tokens) for tokens in lists])[:-1])
+    inside = [c for (place, _), c in zip(own, covers) if place != OUTSIDE]
+    copied = 2 * sum(int(c.sum()) for c in inside) > sum(map(len, inside))
+    out = []
+    for (place, text), tokens, c in zip(own, lists, covers):
+        if place == OUTSIDE:
+            out += [t for t, x in zip(tokens, c) if not x]
+        elif place == KEPT or copied or not c.all():
+            out.append(text)
+    return " ".join(out)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -225,7 +241,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(host.alias("host"), F.col(html_col).alias("html"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     covers = _covers(rows)
     kind = pages.schema[id_col].dataType.simpleString()
-    block = pa.list_(pa.struct([("inside", pa.bool_()), ("text", pa.string())]))
+    block = pa.list_(pa.struct([("place", pa.int32()), ("text", pa.string())]))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,16 +249,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 part = batch.slice(i, 256)
                 found = [blocks(html or "") for html in part.column(1).to_pylist()]
                 names = [content(host, stream(own)) for host, own in zip(part.column(0).to_pylist(), found)]
-                lists = pa.array([[{"inside": inside, "text": text} for inside, text in own] for own in found], block)
+                lists = pa.array([[{"place": place, "text": text} for place, text in own] for own in found], block)
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), pa.array(names, pa.int64()), lists], ["page_id", "url", "content", "blocks"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                texts = [main_text([(b["inside"], b["text"]) for b in own], starts) for own, starts in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                texts = [main_text([(b["place"], b["text"]) for b in own], starts) for own, starts in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    parsed = rows.mapInArrow(parse, f"page_id {kind}, url string, content long, blocks array<struct<inside:boolean,text:string>>")
+    parsed = rows.mapInArrow(parse, f"page_id {kind}, url string, content long, blocks array<struct<place:int,text:string>>")
     joined = parsed.join(covers, "content", "left").select("page_id", "url", "blocks", "starts")
     return joined.mapInArrow(finish, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

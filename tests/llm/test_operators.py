@@ -235,6 +235,25 @@ def test_html_counts_the_whole_host(spark):
         assert text == (page(i % 1000) if k is None or k < 20 else f"{notice(k)} {page(i % 1000)}"), i
 
 
+def test_html_examines_all_blocks(spark):
+    words = lambda name, n=12: " ".join(f"{name}w{i}" for i in range(n))
+    rows = []
+    for i in range(4):
+        body = "".join(f"<p>{words(f'own{i}p{k}')}" for k in range(6))
+        # the body stands outside a teaser's article; a notice is repeated outside of it
+        rows.append((i, "http://a/", f"<article><h2>{words(f'teaser{i}', 3)}</h2></article><div>{body}</div><div>{words('notice')}</div>"))
+        # an unmarked notice, a quotation, a heading, and a quoted part of a paragraph inside an article
+        rows.append((10 + i, "http://b/", f"<article><h1>{words('head')}</h1>{body}<p>{words('notice')}</p><p>x{i} {words('part')} y{i}</p><blockquote>{words('quote')}</blockquote></article>"))
+        # near copies
+        rows.append((20 + i, "http://c/", f"<article><p>{words('same', 40)}</p><p>z{i}</p></article>"))
+    got = {r["page_id"]: r["text"] for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(4):
+        body = " ".join(words(f"own{i}p{k}") for k in range(6))
+        assert got[i] == f"{words(f'teaser{i}', 3)} {body}"
+        assert got[10 + i] == f"{words('head')} {body} x{i} {words('part')} y{i} {words('quote')}"
+        assert got[20 + i] == f"{words('same', 40)} z{i}"
+
+
 def labelled(spark):
     rng = random.Random(6)
     calm, bad = [f"calm{i}" for i in range(80)], ["idiot", "moron", "scum"]

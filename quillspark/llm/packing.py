@@ -13,8 +13,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GROUP_TOKENS = 4_000_000
@@ -142,3 +143,13 @@ def write_packed(packed: DataFrame, folder: str, length: int, pad: int = 0) -> N
         return ids.map(lambda x: np.pad(np.asarray(x, "<i4"), (0, length - len(x)), constant_values=pad).tobytes())
 
     packed.withColumn("matrix_row", dense("ids")).drop("ids").write.parquet(folder)
+
+
+def read_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """What write_packed wrote, with `ids` read from the matrix: the row without its padding."""
+
+    @F.pandas_udf("array<int>")
+    def sparse(rows, n):
+        return pd.Series([np.frombuffer(row, "<i4")[:k] for row, k in zip(rows, n)])
+
+    return spark.read.parquet(folder).withColumn("ids", sparse("matrix_row", F.element_at("cu_seqlens", -1)))

@@ -34,8 +34,11 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(packing.byte_ids(table(spark, sf_dir, "documents")), length=8192)
-    return packed.select(
+    path, folder = tokenizer_path("byte_bpe_50k.json"), new_folder(spark, "packed")
+    ids = bpe.encode(table(spark, sf_dir, "documents"), path)
+    ids = ids.withColumn("ids", F.concat("ids", F.array(F.lit(bpe.load(path).added["<|endoftext|>"]))))  # each text's end
+    packing.write_packed(packing.pack(ids, length=8192), folder, 8192)
+    return packing.read_packed(spark, folder).select(
         "pack_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.size("doc_ids").cast("long").alias("n_segments"),

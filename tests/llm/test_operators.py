@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, decontam, exact_dedup, html_main, ngram_join, packing, pii, quality, token_cache, toxicity
+from quillspark.llm import bpe, decontam, exact_dedup, html_main, ngram_join, packing, pii, quality, queries, token_cache, toxicity
 from quillspark.llm.queries import tokenizer_path
 from quillspark.llm.runtime import bit_filter, drop_rows, filter_hits
 
@@ -74,6 +74,27 @@ def test_packing_is_lossless_and_best_fit(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, ids array<int>")).count() == 0
 
 
+def test_packing_query_writes_token_ids(spark, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    docs(spark, ODD).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(queries, "new_folder", lambda *_: str(tmp_path / "packed"))
+    shown = {r["pack_id"]: r for r in queries.op2_packing(spark, str(tmp_path)).collect()}
+    back = {}
+    for r in spark.read.parquet(str(tmp_path / "packed")).collect():
+        assert len(r["matrix_row"]) == 4 * 8192
+        row, n = np.frombuffer(r["matrix_row"], "<i4"), r["cu_seqlens"][-1]
+        assert not row[n:].any()
+        own = shown.pop(r["pack_id"])
+        assert own["n_tokens"] == n and own["ids_sha256"] == hashlib.sha256(",".join(map(str, row[:n])).encode()).hexdigest()
+        for k, (d, o) in enumerate(zip(r["doc_ids"], r["offsets"])):
+            back.setdefault(d, {})[o] = row[r["cu_seqlens"][k] : r["cu_seqlens"][k + 1]].tolist()
+    assert not shown
+    end = library.token_to_id("<|endoftext|>")
+    assert {d: [x for o in sorted(p) for x in p[o]] for d, p in back.items()} == {i: [*library.encode(t or "", add_special_tokens=False).ids, end] for i, t in enumerate(ODD)}
+
+
 def test_dedup(spark):
     texts = ["A", "a", None, "", "É", "é", "b", "a"]
     df = docs(spark, texts).union(docs(spark, ["b"], 6))  # a repeated row

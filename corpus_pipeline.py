@@ -1,21 +1,32 @@
 """A training corpus from raw documents, in stages; each keeps the columns of documents but the last.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept.
+
+Defined results: rows of one identifier but different texts are decided each by its own text; of rows with the same
+identifier (null or not) and equal texts one stays, the least by its columns; a null identifier is less than any other,
+so of equal texts it stays only where all have null identifiers, and of near copies it is the one that stays; among
+near copies of equal identifier the one of least text digest stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, decontam, exact_dedup, ngram_join, quality
 from quillspark.llm._ship import ship
 from quillspark.llm.queries import table, tokenizer_path
-from quillspark.llm.runtime import drop_rows, fold_ascii, materialize
+from quillspark.llm.runtime import drop_rows, fold_ascii, keep_one, materialize
 
 ORACLE_SQL = None
 
 
+def row_key() -> Column:
+    """A row's identifier and text digest as bytes that sort as the identifiers do, null first."""
+    own = F.concat(F.lit("01"), F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    return F.unhex(F.concat(F.coalesce(own, F.lit("00")), F.md5(F.coalesce(F.col("text"), F.lit("")))))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects."""
     ship(spark)
@@ -23,23 +34,24 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts only the document with the largest identifier."""
-    gone = exact_dedup.deduplicate(docs).where("not kept").select("doc_id", "text_sha256")
+    """Of equal texts only the document with the largest identifier, once."""
+    found = materialize(exact_dedup.deduplicate(docs).where("group_size > 1").select("doc_id", "text_sha256", "kept"), "pipeline-copies")
     key = {"doc_id": F.col("doc_id"), "text_sha256": F.sha2(fold_ascii(F.col("text")), 256)}
-    return drop_rows(docs, materialize(gone, "pipeline-copies"), key).select(*docs.columns)
+    repeated = found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return keep_one(drop_rows(docs, found.where("not kept"), key), repeated, key).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least identifier."""
     ship(spark)
-    gone = ngram_join.near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
-    return drop_rows(docs, materialize(gone, "pipeline-near"), {"doc_id": F.col("doc_id")}).select(*docs.columns)
+    gone = ngram_join.near_duplicates(docs.select(row_key().alias("doc_id"), "text")).where("doc_id <> component_id").select("doc_id")
+    return drop_rows(docs, materialize(gone, "pipeline-near"), {"doc_id": row_key()}).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a benchmark passage."""
-    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return drop_rows(docs, materialize(found, "pipeline-leaks"), {"doc_id": F.col("doc_id")}).select(*docs.columns)
+    found = decontam.decontaminate(docs.select(row_key().alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
+    return drop_rows(docs, materialize(found, "pipeline-leaks"), {"doc_id": row_key()}).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,6 +124,15 @@ def drop_rows(df: DataFrame, dropped: DataFrame, keys: dict[str, Column]) -> Dat
     maybe = marked.where(F.col("__quill_maybe")).drop("__quill_maybe")
     named = dropped.select(*[F.col(k).alias(f"__quill_{k}") for k in keys]).distinct()
     held = maybe.withColumns({f"__quill_own_{k}": c for k, c in keys.items()})
-    on = [F.col(f"__quill_own_{k}") == F.col(f"__quill_{k}") for k in keys]
+    on = [F.col(f"__quill_own_{k}").eqNullSafe(F.col(f"__quill_{k}")) for k in keys]
     held = held.join(named, on, "left_anti").drop(*[f"__quill_own_{k}" for k in keys])
     return sure.unionByName(held.select(*sure.columns))
+
+
+def keep_one(df: DataFrame, repeated: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """df with one row, the least, of those with equal keys; `repeated` holds the keys that may be repeated."""
+    marked = filter_hits(df, bit_filter(repeated, *keys), list(keys.values()), "__quill_maybe")
+    sure = marked.where(~F.col("__quill_maybe")).drop("__quill_maybe")
+    maybe = marked.where(F.col("__quill_maybe")).withColumns({f"__quill_own_{k}": c for k, c in keys.items()})
+    one = maybe.groupBy(*[f"__quill_own_{k}" for k in keys]).agg(F.min(F.struct(*df.columns)).alias("row"))
+    return sure.unionByName(one.select("row.*"))

@@ -98,8 +98,8 @@ def letters(n: Column, width: int = 4) -> Column:
 
 
 def repeated_letters(n: Column) -> Column:
-    """The page label scheme: a to z, then aa to zz, and so on."""
-    return F.repeat(F.char(F.lit(97) + (n - 1) % 26), (F.floor((n - 1) / 26) + 1).cast("int"))
+    """The page label scheme: a to z, then aa to zz, and so on; null below 1."""
+    return F.when(n > 0, F.repeat(F.char(F.lit(97) + (n - 1) % 26), (F.floor((n - 1) / 26) + 1).cast("int")))
 
 
 def escape_html(text: Column) -> Column:

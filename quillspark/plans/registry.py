@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ _VALUES = ", ".join("({}, '{}')".format(i, s.replace("'", "''")) for i, s in enu
 SAMPLE_SQL = f"(SELECT * FROM (VALUES {_VALUES}) AS s(id, line))"
 
 
-def samples(spark: SparkSession) -> DataFrame:
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(SAMPLE_LINES)), "id int, line string")
 
 
@@ -76,8 +77,8 @@ _LTR = " + ".join(tally_sql(s, "line") for s in text.SCRIPT_RANGES if s not in t
 
 
 @query(f"SELECT id, CASE WHEN ({_RTL}) + ({_LTR}) = 0 THEN 'neutral' WHEN ({_RTL}) > ({_LTR}) THEN 'rtl' ELSE 'ltr' END AS direction FROM {SAMPLE_SQL}")
-def run_direction(spark, sf_dir):
-    return samples(spark).select("id", text.direction(F.col("line")).alias("direction"))
+def run_direction(spark, sf_dir, lines=samples):
+    return lines(spark, sf_dir).select("id", text.direction(F.col("line")).alias("direction"))
 
 
 _TOP = "greatest(" + ", ".join(tally_sql(s, "line") for s in text.SCRIPT_RANGES) + ")"
@@ -86,8 +87,8 @@ _SCRIPT = "CASE " + f"WHEN {_TOP} = 0 THEN 'none' " + " ".join(f"WHEN {tally_sql
 
 @query(f"""SELECT id, script, CASE WHEN script = 'arabic' THEN 'ar' WHEN script = 'hebrew' THEN 'he' WHEN script = 'cjk' AND regexp_matches(line, '[{text.KANA}]') THEN 'ja'
     WHEN script = 'cjk' THEN 'zh' END AS lang FROM (SELECT *, {_SCRIPT} AS script FROM {SAMPLE_SQL})""")
-def document_language(spark, sf_dir):
-    rows = samples(spark).withColumn("script", text.dominant_script(text.script_tallies(F.col("line"))))
+def document_language(spark, sf_dir, lines=samples):
+    rows = lines(spark, sf_dir).withColumn("script", text.dominant_script(text.script_tallies(F.col("line"))))
     return rows.select("id", "script", text.language_guess(F.col("script"), F.col("line")).alias("lang"))
 
 
@@ -101,15 +102,15 @@ _FOLD = "regexp_replace({0}, '(^|[^0-9])[0-9]{{1,4}}([^0-9]|$)', '\\1#\\2', 'g')
 
 
 @query(f"SELECT id, CASE WHEN length(regexp_replace({_PLAIN}, '[^\\p{{L}}]', '', 'g')) <= 6 THEN {_FOLD.format(_FOLD.format(_PLAIN))} ELSE {_PLAIN} END AS signature FROM {SAMPLE_SQL}")
-def furniture_signature(spark, sf_dir):
-    return samples(spark).select("id", text.signature(F.col("line")).alias("signature"))
+def furniture_signature(spark, sf_dir, lines=samples):
+    return lines(spark, sf_dir).select("id", text.signature(F.col("line")).alias("signature"))
 
 
 @query(f"""SELECT id, CASE WHEN regexp_matches(l, '^[-*+•‣◦–] ') THEN 'bullet' WHEN regexp_matches(l, '^[0-9]{{1,4}}[.)] ') THEN 'decimal'
     WHEN regexp_matches(l, '^(?:[ivxlcdm]{{2,}}|[IVXLCDM]{{2,}}|[ivxIVX])[.)] ') THEN 'roman' WHEN regexp_matches(l, '^[A-Za-z][.)] ') THEN 'letter' ELSE 'none' END AS marker,
     regexp_replace(l, '^(?:[-*+•‣◦–]|[0-9]{{1,4}}[.)]|[ivxlcdm]+[.)]|[IVXLCDM]+[.)]|[A-Za-z][.)]) +', '') AS content FROM (SELECT id, ltrim(line) AS l FROM {SAMPLE_SQL})""")
-def list_markers(spark, sf_dir):
-    return samples(spark).select("id", text.list_marker(F.col("line")).alias("marker"), text.strip_marker(F.col("line")).alias("content"))
+def list_markers(spark, sf_dir, lines=samples):
+    return lines(spark, sf_dir).select("id", text.list_marker(F.col("line")).alias("marker"), text.strip_marker(F.col("line")).alias("content"))
 
 
 def _roman_sql(n: str) -> str:
@@ -135,14 +136,14 @@ def letter_labels(spark, sf_dir):
 
 @query(rf"""SELECT id, replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS html, regexp_replace(line, '([\\`*_\[\]<>|#])', '\\\1', 'g') AS markdown,
     CASE WHEN regexp_matches(line, '[,"\r\n]') THEN '"' || replace(line, '"', '""') || '"' ELSE line END AS csv FROM {SAMPLE_SQL}""")
-def escapes(spark, sf_dir):
+def escapes(spark, sf_dir, lines=samples):
     line = F.col("line")
-    return samples(spark).select("id", text.escape_html(line).alias("html"), text.escape_markdown(line).alias("markdown"), text.csv_field(line).alias("csv"))
+    return lines(spark, sf_dir).select("id", text.escape_html(line).alias("html"), text.escape_markdown(line).alias("markdown"), text.csv_field(line).alias("csv"))
 
 
 @query(f"SELECT id, coalesce(list_max(list_transform(regexp_extract_all(line, '`+'), lambda x: length(x))), 0)::INT AS longest FROM {SAMPLE_SQL}")
-def longest_backticks(spark, sf_dir):
-    return samples(spark).select("id", text.longest_backticks(F.col("line")).alias("longest"))
+def longest_backticks(spark, sf_dir, lines=samples):
+    return lines(spark, sf_dir).select("id", text.longest_backticks(F.col("line")).alias("longest"))
 
 
 @query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents")
@@ -150,6 +151,27 @@ def text_digests(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("md5"), F.sha1("text").alias("sha1"), F.sha2("text", 256).alias("sha256"))
 
 
+#: All lines of the documents, and the sample rows beside them.
+ALL_LINES_SQL = f"(SELECT doc_id::VARCHAR || ':' || line_no::VARCHAR AS id, line FROM {LINES_SQL} UNION ALL SELECT 'sample:' || id::VARCHAR, line FROM {SAMPLE_SQL})"
+
+
+def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = src.lines(t(spark, sf_dir, "documents"))
+    rows = rows.select(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("line_no").cast("string")).alias("id"), "line")
+    return rows.unionByName(samples(spark, sf_dir).select(F.concat(F.lit("sample:"), F.col("id").cast("string")).alias("id"), "line"))
+
+
+for _key in ("run_direction", "document_language", "furniture_signature", "list_markers", "escapes", "longest_backticks"):
+    ORACLES[f"{_key}_lines"], QUERIES[f"{_key}_lines"] = ORACLES[_key].replace(SAMPLE_SQL, ALL_LINES_SQL), partial(QUERIES[_key], lines=all_lines)
+
+
+# every part, its long label as length and digest, as labels of later pages are kilobytes long
+@query(ORACLES["letter_labels"].replace("SELECT p_partkey, (CASE", "SELECT p_partkey, letters, length(label) AS n_label, md5(label) AS label_md5 FROM (SELECT p_partkey, (CASE").replace(" WHERE p_partkey BETWEEN 1 AND 2000", ")"))
+def letter_labels_all(spark, sf_dir):
+    label = text.repeated_letters(F.col("p_partkey"))
+    return t(spark, sf_dir, "part").select("p_partkey", text.letters(F.col("p_partkey")).alias("letters"), F.length(label).alias("n_label"), F.md5(label).alias("label_md5"))
+
+
 # --- cells, dates, numbers ----------------------------------------------------------------------
 
 _CELLS = """(SELECT o_orderkey AS id, 'status' AS col, o_orderstatus AS cell FROM orders UNION ALL SELECT o_orderkey, 'day', strftime(o_orderdate, '%Y-%m-%d') FROM orders

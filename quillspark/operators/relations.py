@@ -1,4 +1,4 @@
-"""Joins and row edits that documents need: nearest, interval, overlap, as-of; insert, move, delete, patch."""
+"""Joins and row edits that documents need: nearest, interval, overlap, as-of; insert, move, patch."""
 
 from __future__ import annotations
 

@@ -266,6 +266,21 @@ for _key, _pattern, _name in (
     ORACLES[_key], QUERIES[_key] = _exploded(_pattern, _name)
 
 
+# whole paragraphs: from <p> to the next tag of a block, without the inline tags in them
+_HIDDEN = (r"(?is)<(script|style|head)\b.*?</(script|style|head)>", r"(?s)<!--.*?-->")
+_P_OPEN = r"(?i)<p(?:\s[^>]*)?>"
+_P_REST = r"(?is)</?(p|div|article|main|section|header|footer|nav|aside|body|html|table|ul|ol|dl|li|form|figure|blockquote|pre|hr|h[1-6]|address|details|fieldset)\b.*$"
+
+
+@query(rf"""SELECT page_id, i::INT AS n, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(m[i + 1], '{_P_REST}', ''), '(?i)<br\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS paragraph
+    FROM (SELECT page_id, regexp_split_to_array(regexp_replace(regexp_replace(html, '{_HIDDEN[0]}', ' ', 'g'), '{_HIDDEN[1]}', ' ', 'g'), '{_P_OPEN}') AS m FROM pages), unnest(generate_series(1, len(m) - 1)) AS u(i)""")
+def html_paragraph_blocks(spark, sf_dir):
+    html = F.regexp_replace(F.regexp_replace("html", _HIDDEN[0], " "), _HIDDEN[1], " ")
+    rows = t(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split(html, _P_OPEN)).alias("n", "part")).where("n > 0")
+    inner = F.regexp_replace(F.regexp_replace(F.regexp_replace("part", _P_REST, ""), r"(?i)<br\b[^>]*>", " "), "<[^>]*>", "")
+    return rows.select("page_id", "n", F.trim(text.collapse_whitespace(inner)).alias("paragraph"))
+
+
 @query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|head)\b.*?</(script|style|head)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS visible FROM pages""")
 def html_visible_text(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", src.strip_tags(F.col("html")).alias("visible"))

@@ -123,6 +123,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
                 yield pd.DataFrame({"digest": batch["digest"], "version": version, "n_tokens": [count(t) for t in batch["body"]]})
 
         counted = todo.select("digest", "body").mapInPandas(run, CACHE_SCHEMA)
+        counted = counted.join(owners.select("digest"), "digest", "left_semi")
         counted.groupBy("digest", "version").agg(F.max("n_tokens").alias("n_tokens")).write.mode("append").parquet(cache)
         stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == version)
     discard(owners)

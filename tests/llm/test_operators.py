@@ -125,6 +125,16 @@ def test_token_counts_and_cache(spark, tmp_path):
     assert token_cache.token_counts(empty(spark), path, cache).count() == 0
 
 
+def test_token_cache_stores_a_digest_once(spark, tmp_path, monkeypatch):
+    path, cache = tokenizer_path("piece_bpe_32k.model"), str(tmp_path / "cache")
+    token_cache.token_counts(docs(spark, ["a", "b b"]), path, cache).count()
+    # as if all rows passed the bit filter by chance
+    monkeypatch.setattr(token_cache, "filter_hits", lambda df, bits, keys, out: df.withColumn(out, F.lit(True)))
+    got = token_cache.token_counts(docs(spark, ["a", "b b", "c c c", "a"]), path, cache)
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 1, 2, 3]
+    assert spark.read.parquet(cache).count() == 3
+
+
 def brute_components(texts):
     sets = {}
     for i, t in enumerate(texts):

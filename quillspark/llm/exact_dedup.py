@@ -2,6 +2,8 @@
 
 Each task's partial aggregate is the memtable: it holds one entry for each digest it has met, and a
 flush writes the entries as runs sorted by digest, each run with a Parquet Bloom filter on the digest.
+deduplicate() flushes all rows at once, so each digest is in one run: compaction then has nothing to merge, nothing
+looks into the runs' Parquet filters, and in effect it is one aggregate by digest and a comparison of bytes.
 Compaction merges runs, keeping the smallest and the largest identifier and the count of each digest.
 Rows that the index says have a partner are compared with the kept row's bytes; rows of equal digest
 but different bytes are grouped anew by the text itself.

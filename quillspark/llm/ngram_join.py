@@ -1,17 +1,21 @@
 """N-gram Jaccard self-join: rare-first prefix filtering, then one verification for each pair.
 
-Each text becomes the set of its word n-grams, as 64-bit hashes. Texts of equal sets are one node. A node's
-hashes are ordered rarest first (by a count sketch of fixed size, so that any order is right and a common
-passage comes last), and two nodes can link only if they share a hash of their prefixes. Prefixes that are
-longer by k hashes share k more; so a node with too few hashes that any other long prefix holds links with
-nothing, and ships none (a passage that it has in common with others, or chance, is not enough). Pairs from the join
-on prefix hashes pass the length filter, the positional filter and a suffix filter (the parities of hash
-counts in classes: each hash that only one set has changes one, so differing parities bound the overlap from
-above) before their whole sets are compared, once.
-
-Links are wanted for components, so groups are not expanded into all pairs: first every node of a prefix
-hash is compared with one pivot of that hash, in a few rounds; then only pairs that are still in different
-components are joined, all of them. No link between components is lost.
+Each text becomes the set of its word n-grams, as 64-bit hashes; texts of equal sets are one node. Steps:
+
+1. Survivors. Two linked sets of sizes n and m have k hashes in common among the first n - least + k (and m - least + k)
+   in any one order. Each text ships that prefix in order of hash, and each hash counts as shared if two nodes ship it;
+   a node with fewer shared ones than any partner would need links with nothing and is done with.
+2. Rare first. The survivors' hashes are counted exactly and each set is put in order of count; hashes that no other
+   survivor holds come first and make no pair, so of a prefix only the shared hashes are posted. Two nodes can link only if
+   they meet in a posting; at the first hash that they have in common the shared hashes from there on bound the overlap (positional filter, with the length filter).
+3. Hubs. Links are wanted for components, so groups are not expanded into pairs: each node meets one pivot, the one of
+   least share of own hashes among the pivots of its postings, for ROUNDS rounds; then all pairs that are still in
+   different components meet, after postings that no other component can match are dropped by two minima.
+   Pairs pass the suffix filter (the parities of hash counts in classes: each hash that only one set has changes one, so
+   differing parities bound the overlap from above) and then have their whole sets compared, each pair once.
+
+Hashes stand for n-grams: m different n-grams in one text, or in two that are compared, are miscounted with a chance below
+m ** 2 / 2 ** 65; with 5e10 texts of 330 words that makes about one wrong text in ten thousand such corpora.
 
 Defined results: a null or blank text has no n-grams, links with nothing and is its own component; a text of
 fewer words than n is one n-gram; repeated rows share a component and are returned as often as given; rows
@@ -30,16 +34,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import BITMAP_BITS, FILTER_BITS, bit_filter, discard, filter_hits, materialize
+from .runtime import bit_filter, discard, filter_hits, materialize
 
-#: Counters of the rarity sketch, in slices that are summed apart.
-SKETCH, SLICES = 1 << 18, 64
 #: 64-bit words of a node's bit set.
 LANES = 16
-#: Rounds with one pivot for each prefix hash, before all remaining pairs.
+#: Rounds with one pivot for each node, before all remaining pairs.
 ROUNDS = 2
-#: A long prefix has one hash more for each so many hashes of its set.
+#: A shipped prefix has one hash more for each so many hashes of its set.
 SPARE = 8
+#: Hashes that a task gathers before it ships them; hashes in a bucket on average, and the least number of buckets.
+CHUNK, BUCKET, BUCKETS = 1 << 20, 1 << 23, 64
+#: Nodes that a task remembers, so that copies are shipped once.
+SEEN = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers = np.ones(1, np.uint64)
@@ -88,37 +94,23 @@ def _lanes(tokens: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(slot, minlength=64 * LANES) & 1).astype(np.uint8)).view(np.int64)
 
 
-def _signature(tokens: np.ndarray) -> bytes:
-    """The same with at least two classes for each hash, so about a 32nd of the set's bytes."""
-    size = max(64, 1 << (2 * len(tokens)).bit_length())
-    slot = (tokens & np.uint64(size - 1)).astype(np.int64)
-    return np.packbits((np.bincount(slot, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
-
-
-def _differing(x: bytes, y: bytes) -> int:
-    """At least so many hashes are in one set only: each changes one parity."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    while len(a) > len(b):  # classes of the longer one joined
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
-
-
 def _node(tokens: np.ndarray) -> bytes:
     return blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def _prefix(tokens: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
-    """The hashes of the long prefix, rarest first; how many of them cannot all be missing from a partner; how many any partner has.
+def _ref(node: bytes) -> int:
+    """64 bits of a node's name, never 0."""
+    return int.from_bytes(node[:8], "little", signed=True) or 1
+
+
+def _prefix(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The first hashes of a set, in order of hash; how many of them any partner has among its own first ones.
 
     Two linked sets have `least` common hashes, so prefixes of n - least + k have k. A partner is no smaller
     than `least`, and its k no less than that of a set of this size.
     """
-    count = sketch[tokens & np.uint64(SKETCH - 1)]
     least = -(-percent * len(tokens) // 100)
-    first = len(tokens) - least + 1
-    return tokens[np.lexsort((tokens, count))][: first + len(tokens) // SPARE], first, 1 + least // SPARE
+    return tokens[: len(tokens) - least + 1 + len(tokens) // SPARE], 1 + least // SPARE
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -129,106 +121,150 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def _profile(docs: DataFrame, n: int) -> DataFrame:
-    """For each row doc_id, n, node and the bit set; and the tasks' sketches, in slices."""
-    kind = docs.schema["doc_id"].dataType
+    """For each row doc_id, n, node, ref and the bit set."""
     lanes = [f"b{k}" for k in range(LANES)]
-    schema = f"doc_id {kind.simpleString()}, n long, node binary, {', '.join(f'{b} long' for b in lanes)}, sig binary, slice int, salt int, counts binary"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n int, node binary, ref long, {', '.join(f'{b} long' for b in lanes)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, names = np.zeros(SKETCH, np.uint32), ["doc_id", "n", "node", *lanes, "sig", "slice", "salt", "counts"]
-        ids = None
         for part, texts in _texts(batches):
             sets = [shingles(t, n) for t in texts]
-            slots = (np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64)
-            sketch += np.bincount(slots, minlength=SKETCH).astype(np.uint32)
+            nodes = [_node(s) for s in sets]
             bits = np.array([_lanes(s) for s in sets]).reshape(-1, LANES)
-            ids = part.column(0)
-            blank = lambda t: pa.nulls(len(sets), t)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.binary()), *[pa.array(bits[:, k]) for k in range(LANES)], pa.array([_signature(s) for s in sets], pa.binary()), blank(pa.int32()), blank(pa.int32()), blank(pa.binary())], names
-            )
-        if ids is not None and sketch.any():
-            salt = int(sketch.sum()) % 16
-            pieces = [p.tobytes() for p in np.split(sketch, SLICES)]
-            blank = lambda t: pa.nulls(SLICES, t)
-            yield pa.RecordBatch.from_arrays(
-                [blank(ids.type), blank(pa.int64()), blank(pa.binary()), *[blank(pa.int64())] * LANES, blank(pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([salt] * SLICES, pa.int32()), pa.array(pieces, pa.binary())], names
+                [part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(nodes, pa.binary()), pa.array(map(_ref, nodes), pa.int64()), *[pa.array(bits[:, k]) for k in range(LANES)]], ["doc_id", "n", "node", "ref", *lanes]
             )
 
     return docs.mapInArrow(run, schema)
 
 
-def _sketch(profile: DataFrame) -> np.ndarray:
-    """The tasks' sketches summed, in two steps, so that no task reads those of all others."""
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            for at, salt, counts in zip(batch["slice"], batch["salt"], batch["counts"]):
-                own = total.setdefault((at, salt), np.zeros(SKETCH // SLICES, np.uint32))
-                own += np.frombuffer(counts, np.uint32)
-        yield pd.DataFrame([(at, salt, c.tobytes()) for (at, salt), c in total.items()], columns=["slice", "salt", "counts"])
-
-    schema = "slice int, salt int, counts binary"
-    rows = profile.where("slice is not null").select("slice", "salt", "counts")
-    once = rows.repartition(2 * SLICES, "slice", "salt").mapInPandas(add, schema).withColumn("salt", F.lit(0))
-    out = np.zeros(SKETCH, np.uint32)
-    for row in once.repartition(SLICES, "slice").mapInPandas(add, schema).collect():  # SKETCH counters in all
-        at = row["slice"] * (SKETCH // SLICES)
-        out[at : at + SKETCH // SLICES] = np.frombuffer(row["counts"], np.uint32)
-    return out
-
+def _shipped(tokens: list[np.ndarray], refs: list[int], buckets: int) -> Iterator[tuple]:
+    """A task's prefixes as rows (bucket, keys, refs, times), and what is settled already as a row without keys.
 
-def _prefixes(docs: DataFrame, sketch: np.ndarray, n: int, percent: int, shared: np.ndarray | None) -> DataFrame:
-    """Each text's long prefix; with `shared` (a bit set) the prefix hashes in it, with node, size and place, of texts that can link."""
+    A hash that several nodes here have is shared for certain: it goes out once, under the name 0, and is counted here, so a
+    hash of any number of texts is shipped once a chunk.
+    """
+    names, held = np.array(refs, np.int64), np.concatenate(tokens)
+    owner = np.repeat(np.arange(len(refs)), [len(t) for t in tokens])
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+    size = np.diff(np.append(first, len(held)))
+    told = np.bincount(owner[np.repeat(size > 1, size)], minlength=len(refs))
+    own = np.flatnonzero(told)
+    if len(own):
+        yield int(held[0] & np.uint64(buckets - 1)), None, names[own].tobytes(), told[own].astype("<u4").tobytes()
+    held, owner = held[first], np.where(size > 1, -1, owner[first])
+    bucket = (held & np.uint64(buckets - 1)).astype(np.int64)
+    order = np.lexsort((owner, bucket))
+    held, owner, bucket = held[order], owner[order], bucket[order]
+    keys = (held >> np.uint64(20)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]  # 40 bits beside those of the bucket
+    start = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])])
+    run = np.flatnonzero(start)
+    times = np.diff(np.append(run, len(held))).astype("<u4")
+    name = np.append(names, 0)[owner[run]]
+    of = bucket[run]
+    edge = np.append(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])), len(of))
+    ends = np.append(run, len(held))
+    for a, b in zip(edge, edge[1:]):
+        yield int(of[a]), keys[ends[a] : ends[b]].tobytes(), name[a:b].tobytes(), times[a:b].tobytes()
+
+
+def _shared(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Of one bucket's rows (keys, refs, times): the nodes and how many of their shipped hashes are shared, as far as known here."""
+    keys, refs, out_ref, out_n = [], [], [], []
+    for k, r, t in parts:
+        r, t = np.frombuffer(r, "<i8"), np.frombuffer(t, "<u4").astype(np.int64)
+        if k is None:
+            out_ref.append(r)
+            out_n.append(t)
+            continue
+        wide = np.zeros((len(k) // 5, 8), np.uint8)
+        wide[:, :5] = np.frombuffer(k, np.uint8).reshape(-1, 5)
+        keys.append(wide.reshape(-1).view("<u8"))
+        refs.append(np.repeat(r, t))
+    if keys:
+        key, ref = np.concatenate(keys), np.concatenate(refs)
+        order = np.lexsort((ref, key))
+        key, ref = key[order], ref[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        once = new | np.concatenate([[True], ref[1:] != ref[:-1]])  # copies of one node are not two
+        key_at = np.cumsum(new) - 1
+        several = np.bincount(key_at[once]) > 1
+        several |= np.bincount(key_at, weights=ref == 0) > 0
+        own = ref[once & several[key_at] & (ref != 0)]
+        own, n = np.unique(own, return_counts=True)
+        out_ref.append(own)
+        out_n.append(n)
+    return np.concatenate(out_ref), np.concatenate(out_n)
+
+
+def _survivors(docs: DataFrame, nodes: DataFrame, total: int, n: int, percent: int) -> DataFrame:
+    """The nodes with enough shared hashes in their shipped prefixes."""
+    buckets = max(BUCKETS, 1 << max(0, total // BUCKET).bit_length())
+
+    def ship_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, tokens, refs, size = set(), [], [], 0
+
+        def rows() -> pa.RecordBatch:
+            a, b, c, d = zip(*_shipped(tokens, refs, buckets))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.binary()), pa.array(c, pa.binary()), pa.array(d, pa.binary())], ["bucket", "keys", "refs", "times"])
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _texts(batches):
-            found = [_prefix(s, sketch, percent)[0] for t in texts if len(s := shingles(t, n))]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["token"])
+            for t in texts:
+                if len(s := shingles(t, n)) and (ref := _ref(_node(s))) not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(ref)
+                    refs.append(ref)
+                    tokens.append(_prefix(s, percent)[0])
+                    size += len(tokens[-1])
+            if size >= CHUNK:
+                yield rows()
+                tokens, refs, size = [], [], 0
+        if refs:
+            yield rows()
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        ref, k = _shared(list(zip(rows["keys"], rows["refs"], rows["times"])))
+        return pd.DataFrame({"ref": ref, "k": k})
+
+    shipped = docs.mapInArrow(ship_out, "bucket int, keys binary, refs binary, times binary")
+    told = shipped.groupBy("bucket").applyInPandas(count, "ref long, k long").groupBy("ref").agg(F.sum("k").alias("k"))
+    least = F.expr(f"1 + ceil({percent} * n / 100) div {SPARE}")
+    return nodes.join(told, "ref").where(F.col("k") >= least).select("node", "ref", "owner", "n")
+
+
+def _sets(docs: DataFrame, survivors: DataFrame, n: int) -> DataFrame:
+    """The survivors' whole sets: node, ref, n, tokens."""
+    texts = filter_hits(docs, bit_filter(survivors, "owner"), [F.col("doc_id")], "hit").where("hit").select("doc_id", "text")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _texts(batches):
-            token, node, size, place = [], [], [], []
-            for t in texts:
-                if not len(s := shingles(t, n)):
-                    continue
-                long, first, least = _prefix(s, sketch, percent)
-                slot = long & np.uint64(FILTER_BITS - 1)
-                own = np.flatnonzero((shared[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
-                if len(own) < least:
-                    continue
-                own = own[own < first]
-                if len(own):
-                    token.append(long[own].view(np.int64))
-                    place.append(own.astype(np.int32))
-                    size += [len(s)] * len(own)
-                    node += [_node(s)] * len(own)
-            if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), pa.array(node, pa.binary()), pa.array(size, pa.int32()), pa.array(np.concatenate(place))], ["token", "node", "n", "place"])
-
-    if shared is None:
-        return docs.mapInArrow(tokens, "token long")
-    return docs.mapInArrow(rows, "token long, node binary, n int, place int")
-
-
-def _shared_bits(tokens: DataFrame) -> np.ndarray:
-    """A bit set (4 MB) of the long prefixes' hashes that more than one text has."""
-    slot = F.pmod("token", F.lit(FILTER_BITS))
-    twice = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
-    chunks = twice.groupBy((slot / F.lit(BITMAP_BITS)).cast("int").alias("chunk")).agg(F.bitmap_construct_agg(slot % F.lit(BITMAP_BITS)).alias("bits"))
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for chunk, bits in chunks.collect():  # at most FILTER_BITS in all
-        out[chunk * BITMAP_BITS // 8 : (chunk + 1) * BITMAP_BITS // 8] = np.frombuffer(bits, np.uint8)
+            found = [s for t in texts if len(s := shingles(t, n))]
+            if found:
+                nodes = [_node(s) for s in found]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["node", "tokens"])
+
+    found = texts.mapInArrow(run, "node binary, tokens array<long>").join(survivors.select("node", "ref", "n"), "node")
+    return found.dropDuplicates(["node"]).select("node", "ref", "n", "tokens")
+
+
+def _postings(sets: DataFrame, percent: int) -> DataFrame:
+    """The shared hashes of rarest-first prefixes: token, ref, n, rest (shared hashes of the set from there on), own (share of the others)."""
+    rows = sets.select("ref", F.explode("tokens").alias("token"))
+    counts = materialize(rows.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1"), "join-counts")
+    held = rows.join(counts, "token").groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
+    held = held.join(sets.select("ref", "n"), "ref").withColumn("spare", F.expr(f"cast(size(held) - ceil({percent} * n / 100) as int)")).where("spare >= 0")
+    own = F.expr("cast((n - size(held)) * 1000000L div n as int)")
+    out = held.select("ref", "n", F.size("held").alias("size"), own.alias("own"), F.posexplode(F.slice("held", F.lit(1), F.col("spare") + 1)).alias("at", "c"))
+    out = materialize(out.select(F.col("c.token").alias("token"), "ref", "n", (F.col("size") - F.col("at")).alias("rest"), "own"), "join-postings")
+    discard(counts)
     return out
 
 
-def _fits(na: str, pa_: str, nb: str, pb: str, percent: int) -> Column:
-    """The length filter and the positional filter, for a hash at these places of two prefixes."""
-    least = f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb})"
-    most = f"least({pa_}, {pb}) + 1 + least({na} - {pa_}, {nb} - {pb}) - 1"
-    return F.expr(f"{least} and {100 + percent} * ({most}) >= {percent} * ({na} + {nb})")
+def _fits(na: str, ra: str, nb: str, rb: str, percent: int) -> Column:
+    """The length filter and the positional filter, for the first common hash at these places of two prefixes."""
+    return F.expr(f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb}) and {100 + percent} * least({ra}, {rb}) >= {percent} * ({na} + {nb})")
 
 
 def _suffix_fits(a: str, b: str, percent: int) -> Column:
@@ -237,43 +273,40 @@ def _suffix_fits(a: str, b: str, percent: int) -> Column:
     return F.expr(f"{100 + percent} * ({a}.n + {b}.n - ({differ})) >= 2 * {percent} * ({a}.n + {b}.n)")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are similar enough."""
+def _open(told: DataFrame) -> DataFrame:
+    """The postings of hashes that nodes of different components have."""
+    mixed = told.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("top")).where("low <> top").select("token")
+    return told.join(mixed, "token", "left_semi")
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, x, y, size = (c.to_pylist() for c in batch.columns)
-            keep = [(100 + percent) * (k - _differing(u, v)) >= 2 * percent * k for u, v, k in zip(x, y, size)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda name, k: nodes.select(F.col("node").alias(name), F.col("sig").alias(f"sig{k}"), F.col("n").alias(f"n{k}"))
-    signed = pairs.join(side("a", 0), "a").join(side("b", 1), "b").select("a", "b", "sig0", "sig1", F.expr("n0 + n1").alias("size"))
-    pairs = materialize(signed.mapInArrow(likely, "a binary, b binary"), "join-likely")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    owners = materialize(nodes.select("node", "owner").join(wanted, "node", "left_semi"), "join-wanted")
-    texts = filter_hits(docs, bit_filter(owners, "owner"), [F.col("doc_id")], "hit").where("hit").select("doc_id", "text")
+def _matchable(held: DataFrame, percent: int) -> DataFrame:
+    """The postings that some posting of another component of their hash may match, by its least n and its largest rest."""
+    each = held.groupBy("token", "comp").agg(F.min("n").alias("n"), F.max("rest").alias("rest"))
+    best = each.groupBy("token").agg(F.min(F.struct("n", "comp")).alias("lo"), F.max(F.struct("rest", "comp")).alias("hi"))
+    both = each.join(best, "token").groupBy("token").agg(
+        F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.min(F.expr("if(comp <> lo.comp, n, null)")).alias("lo2"), F.max(F.expr("if(comp <> hi.comp, rest, null)")).alias("hi2")
+    )
+    both = materialize(both, "join-extremes")
+    near = held.join(both, "token").withColumn("least_n", F.expr("if(comp = lo.comp, lo2, lo.n)")).withColumn("most", F.expr("if(comp = hi.comp, hi2, hi.rest)"))
+    return near.where(F.expr(f"{100 + percent} * least(rest, most) >= {percent} * (n + least_n)")).select(*held.columns)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _texts(batches):
-            found = [shingles(t, n) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "tokens"])
 
-    found = texts.mapInArrow(sets, "node binary, tokens binary").join(owners.select("node"), "node", "left_semi")
-    found = materialize(found.dropDuplicates(["node"]), "join-sets")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets are similar enough."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                both = len(x) + len(y) >> 3
-                common = both - len(np.unique(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])))
+            for k in range(batch.num_rows):
+                x, y = (batch.column(c)[k].values.to_numpy() for c in (2, 3))
+                both = len(x) + len(y)
+                common = both - len(np.unique(np.concatenate([x, y])))
                 keep.append(100 * common >= percent * (both - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    full = pairs.join(found.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    links = materialize(full.select("a", "b", "x", "y").mapInArrow(similar, "a binary, b binary"), "join-links")
-    discard(owners, found, pairs)
-    return links
+    side = lambda name, tokens: sets.select(F.col("node").alias(name), F.col("tokens").alias(tokens))
+    full = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+    return materialize(full.mapInArrow(similar, "a binary, b binary"), "join-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -304,59 +337,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two texts link when at least `percent` of a hundred of the hashes that either has are common.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    profile = materialize(_profile(docs, n), "join-profile")
-    sketch = _sketch(profile)
-    rows = profile.where("slice is null")
+    rows = materialize(_profile(docs, n), "join-profile")
     lanes = [f"b{k}" for k in range(LANES)]
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("owner"), F.first("n").cast("int").alias("n"), *[F.first(b).alias(b) for b in [*lanes, "sig"]])
-    nodes = materialize(nodes, "join-nodes")
+    nodes = materialize(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("owner"), *[F.first(c).alias(c) for c in ("n", "ref", *lanes)]), "join-nodes")
+    total = nodes.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
 
-    # one text for each node, or a few more where the filter lets a copy through
-    owned = filter_hits(docs, bit_filter(nodes, "owner"), [F.col("doc_id")], "hit").where(F.col("hit") | F.col("doc_id").isNull()).select("doc_id", "text")
-    shared = _shared_bits(_prefixes(owned, sketch, n, percent, None))
-    prefixes = _prefixes(owned, sketch, n, percent, shared).groupBy("token", "node").agg(F.first("n").alias("n"), F.min("place").alias("place"))
-    prefixes = materialize(prefixes, "join-prefixes")
+    survivors = materialize(_survivors(docs, nodes, total, n, percent), "join-survivors")
+    sets = materialize(_sets(docs, survivors, n), "join-sets")
+    postings = _postings(sets, percent)
+    facts = materialize(nodes.join(survivors.select("node"), "node", "left_semi").select("node", "ref", F.struct("n", *lanes).alias("s")), "join-facts")
+    discard(nodes, survivors)
 
-    links, roots = None, None
-    sided = lambda side: nodes.select(F.col("node").alias(side), F.struct("n", *lanes).alias(f"s{side}"))
+    links, roots, tried = None, None, None
     for round_ in range(ROUNDS + 1):
-        if roots is None:
-            held = prefixes.withColumn("comp", F.xxhash64("node"))
-        else:
-            # components only grow, so a hash whose nodes are all in one has no part in later rounds either
-            told = prefixes.join(roots, "node", "left").select("token", "node", "n", "place", F.xxhash64(F.coalesce("root", "node")).alias("comp"))
-            told = materialize(told, "join-told")
-            mixed = told.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("top")).where("low <> top").select("token")
-            held = materialize(told.join(mixed, "token", "left_semi"), "join-held")
-            discard(prefixes, told)
-            prefixes = held
+        names = facts.select("ref", "node")
+        if roots is not None:
+            names = names.join(roots, "node", "left").select("ref", F.coalesce("root", "node").alias("node"))
+        told = materialize(postings.join(names.select("ref", F.xxhash64("node").alias("comp")), "ref"), "join-told")
+        # components only grow, so a hash whose nodes are all in one has no part in later rounds either
+        held = materialize(_open(told), "join-held")
+        discard(told, postings)
+        postings = held.drop("comp")
+        postings._quillspark_folder = held._quillspark_folder
         if round_ < ROUNDS:
-            if roots is None:  # each node is a component: the pivot is the one of least hash
-                pivots = held.groupBy("token").agg(F.min(F.struct("comp", "node", "n", "place")).alias("p"), F.max("comp").alias("top")).where("p.comp <> top")
-            else:
-                pivots = held.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), "node", "comp", "n", "place")).alias("p"))
-            met = held.join(pivots.select("token", "p"), "token").where("comp <> p.comp").where(_fits("n", "place", "p.n", "p.place", percent))
-            met = met.select(F.col("node").alias("a"), F.col("p.node").alias("b"))
+            rank = F.col("own") if round_ == 0 else F.lit(0)
+            pivots = held.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), F.xxhash64("ref", F.lit(round_)).alias("h"), "ref", "comp", "n", "rest")).alias("p"))
+            met = held.join(pivots, "token").where("comp <> p.comp").where(_fits("n", "rest", "p.n", "p.rest", percent))
+            met = met.groupBy("ref").agg(F.min("p").alias("p")).select("ref", F.col("p.ref").alias("other"))
         else:
-            if roots is None:
-                open_ = held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("top")).where("low <> top").select("token")
-                held = held.join(open_, "token", "left_semi")
-            x, y = held.alias("x"), held.alias("y")
-            rule = (F.col("x.token") == F.col("y.token")) & F.expr("x.comp < y.comp") & _fits("x.n", "x.place", "y.n", "y.place", percent)
-            met = x.join(y, rule).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+            left = materialize(_matchable(held, percent), "join-left")
+            x, y = left.alias("x"), left.alias("y")
+            rule = (F.col("x.token") == F.col("y.token")) & F.expr("x.comp < y.comp") & _fits("x.n", "x.rest", "y.n", "y.rest", percent)
+            met = x.join(y, rule).select(F.col("x.ref").alias("ref"), F.col("y.ref").alias("other"))
         # each pair once, before its bit sets are compared
-        pairs = met.distinct().join(sided("a"), "a").join(sided("b"), "b").where(_suffix_fits("sa", "sb", percent)).select("a", "b")
-        pairs = materialize(pairs, "join-pairs")
-        if pairs.limit(1).count():
-            found = _verified(pairs, nodes, docs, n, percent)
-            links = found if links is None else materialize(links.union(found), "join-all-links")
-            roots = components(links)
-        discard(pairs)
-
-    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), "node")
-    if roots is not None:
-        rows = rows.join(roots, "node", "left").withColumn("node", F.coalesce("root", "node")).drop("root")
+        pairs = met.select(F.least("ref", "other").alias("i"), F.greatest("ref", "other").alias("j")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["i", "j"], "left_anti")
+        pairs = materialize(pairs, "join-met")
+        sided = lambda name, key: facts.select(F.col("ref").alias(key), F.col("node").alias(name), F.col("s").alias(f"s{name}"))
+        likely = pairs.join(sided("a", "i"), "i").join(sided("b", "j"), "j").where(_suffix_fits("sa", "sb", percent)).select("a", "b")
+        found = _verified(likely, sets, percent)
+        links = found if links is None else materialize(links.union(found), "join-all-links")
+        tried = pairs if tried is None else tried.union(pairs)
+        roots = components(links)
+
+    rows = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node")
+    rows = rows.join(roots, "node", "left").withColumn("node", F.coalesce("root", "node")).drop("root")
     rows = materialize(rows, "join-rows")
+    discard(sets, facts, postings)
     least = materialize(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("component_id")), "join-least")
     linked = rows.where("n_shingles > 0").join(least, "node").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -156,10 +156,9 @@ def brute_components(texts):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-def test_long_prefixes_of_linked_sets_have_enough_in_common():
+def test_shipped_prefixes_of_linked_sets_have_enough_in_common():
     rng = np.random.default_rng(5)
     for percent in (20, 50, 75, 100):
-        sketch = rng.integers(0, 4, ngram_join.SKETCH).astype(np.uint32)
         for _ in range(1500):
             a = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 60)).astype(np.uint64))
             kept = a[rng.random(len(a)) < rng.choice([0.8, 0.9, 1.0])]
@@ -167,11 +166,26 @@ def test_long_prefixes_of_linked_sets_have_enough_in_common():
             common = len(np.intersect1d(a, b))
             if not len(b) or 100 * common < percent * (len(a) + len(b) - common):
                 continue
-            (x, i, least), (y, j, most) = (ngram_join._prefix(s, sketch, percent) for s in (a, b))
-            assert len(np.intersect1d(x[:i], y[:j])) > 0
+            (x, least), (y, most) = (ngram_join._prefix(s, percent) for s in (a, b))
             assert len(np.intersect1d(x, y)) >= max(least, most)
 
 
+def test_shared_hashes_are_counted_whatever_the_chunks():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 40)).astype(np.uint64) << np.uint64(20)) for _ in range(40)]
+    for chunk in (1, 7, 40):
+        rows = {}
+        for i in range(0, len(sets), chunk):
+            for bucket, *row in ngram_join._shipped(sets[i : i + chunk], list(range(i + 1, min(i + chunk, 40) + 1)), 4):
+                rows.setdefault(bucket, []).append(row)
+        got = np.zeros(41, int)
+        for parts in rows.values():
+            ref, k = ngram_join._shared(parts)
+            np.add.at(got, ref, k)
+        every, times = np.unique(np.concatenate(sets), return_counts=True)
+        assert got[1:].tolist() == [int(np.isin(s, every[times > 1]).sum()) for s in sets]
+
+
 def test_near_duplicates(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -183,6 +197,10 @@ def test_near_duplicates(spark):
             texts.append(" ".join(words))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs(spark, texts)).collect()}
     assert got == brute_components(texts)
+    odd = docs(spark, [None, "", "one", LONG, LONG + "x y"]).union(docs(spark, ["one", LONG]).withColumn("doc_id", F.lit(None).cast("long")))
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(odd.union(odd)).collect()), key=str)
+    # "word word word word word" is one n-gram; with "x y" there are three, of which two are its own
+    assert got == sorted(2 * [(0, 0, 0), (1, 0, 1), (2, 1, 2), (3, 1, 3), (4, 3, 4), (None, 1, 2), (None, 1, 3)], key=str)
     assert ngram_join.near_duplicates(empty(spark)).count() == 0
 
 

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import buckets
 from .runtime import bit_filter, discard, filter_hits, materialize
 
 #: 64-bit words of a node's bit set.
@@ -42,8 +43,6 @@ LANES = 16
 ROUNDS = 2
 #: A shipped prefix has one hash more for each so many hashes of its set.
 SPARE = 8
-#: Hashes that a task gathers before it ships them; hashes in a bucket on average, and the least number of buckets.
-CHUNK, BUCKET, BUCKETS = 1 << 20, 1 << 23, 64
 #: Nodes that a task remembers, so that copies are shipped once.
 SEEN = 1 << 18
 
@@ -137,78 +136,12 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _shipped(tokens: list[np.ndarray], refs: list[int], buckets: int) -> Iterator[tuple]:
-    """A task's prefixes as rows (bucket, keys, refs, times), and what is settled already as a row without keys.
-
-    A hash that several nodes here have is shared for certain: it goes out once, under the name 0, and is counted here, so a
-    hash of any number of texts is shipped once a chunk.
-    """
-    names, held = np.array(refs, np.int64), np.concatenate(tokens)
-    owner = np.repeat(np.arange(len(refs)), [len(t) for t in tokens])
-    order = np.argsort(held, kind="stable")
-    held, owner = held[order], owner[order]
-    first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
-    size = np.diff(np.append(first, len(held)))
-    told = np.bincount(owner[np.repeat(size > 1, size)], minlength=len(refs))
-    own = np.flatnonzero(told)
-    if len(own):
-        yield int(held[0] & np.uint64(buckets - 1)), None, names[own].tobytes(), told[own].astype("<u4").tobytes()
-    held, owner = held[first], np.where(size > 1, -1, owner[first])
-    bucket = (held & np.uint64(buckets - 1)).astype(np.int64)
-    order = np.lexsort((owner, bucket))
-    held, owner, bucket = held[order], owner[order], bucket[order]
-    keys = (held >> np.uint64(20)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]  # 40 bits beside those of the bucket
-    start = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])])
-    run = np.flatnonzero(start)
-    times = np.diff(np.append(run, len(held))).astype("<u4")
-    name = np.append(names, 0)[owner[run]]
-    of = bucket[run]
-    edge = np.append(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])), len(of))
-    ends = np.append(run, len(held))
-    for a, b in zip(edge, edge[1:]):
-        yield int(of[a]), keys[ends[a] : ends[b]].tobytes(), name[a:b].tobytes(), times[a:b].tobytes()
-
-
-def _shared(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Of one bucket's rows (keys, refs, times): the nodes and how many of their shipped hashes are shared, as far as known here."""
-    keys, refs, out_ref, out_n = [], [], [], []
-    for k, r, t in parts:
-        r, t = np.frombuffer(r, "<i8"), np.frombuffer(t, "<u4").astype(np.int64)
-        if k is None:
-            out_ref.append(r)
-            out_n.append(t)
-            continue
-        wide = np.zeros((len(k) // 5, 8), np.uint8)
-        wide[:, :5] = np.frombuffer(k, np.uint8).reshape(-1, 5)
-        keys.append(wide.reshape(-1).view("<u8"))
-        refs.append(np.repeat(r, t))
-    if keys:
-        key, ref = np.concatenate(keys), np.concatenate(refs)
-        order = np.lexsort((ref, key))
-        key, ref = key[order], ref[order]
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        once = new | np.concatenate([[True], ref[1:] != ref[:-1]])  # copies of one node are not two
-        key_at = np.cumsum(new) - 1
-        several = np.bincount(key_at[once]) > 1
-        several |= np.bincount(key_at, weights=ref == 0) > 0
-        own = ref[once & several[key_at] & (ref != 0)]
-        own, n = np.unique(own, return_counts=True)
-        out_ref.append(own)
-        out_n.append(n)
-    return np.concatenate(out_ref), np.concatenate(out_n)
-
-
 def _survivors(docs: DataFrame, nodes: DataFrame, total: int, n: int, percent: int) -> DataFrame:
     """The nodes with enough shared hashes in their shipped prefixes."""
-    buckets = max(BUCKETS, 1 << max(0, total // BUCKET).bit_length())
+    parts = buckets.count(total)
 
     def ship_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, tokens, refs, size = set(), [], [], 0
-
-        def rows() -> pa.RecordBatch:
-            a, b, c, d = zip(*_shipped(tokens, refs, buckets))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.binary()), pa.array(c, pa.binary()), pa.array(d, pa.binary())], ["bucket", "keys", "refs", "times"])
-
         for _, texts in _texts(batches):
             for t in texts:
                 if len(s := shingles(t, n)) and (ref := _ref(_node(s))) not in seen:
@@ -218,17 +151,18 @@ def _survivors(docs: DataFrame, nodes: DataFrame, total: int, n: int, percent: i
                     refs.append(ref)
                     tokens.append(_prefix(s, percent)[0])
                     size += len(tokens[-1])
-            if size >= CHUNK:
-                yield rows()
+            if size >= buckets.CHUNK:
+                yield buckets.batch(buckets.shipped(tokens, refs, parts, 2))
                 tokens, refs, size = [], [], 0
         if refs:
-            yield rows()
+            yield buckets.batch(buckets.shipped(tokens, refs, parts, 2))
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        ref, k = _shared(list(zip(rows["keys"], rows["refs"], rows["times"])))
+        refs, _ = buckets.shared(zip(rows["known"], rows["keys"], rows["refs"], rows["times"]), int(rows["bucket"].iloc[0]), 2)
+        ref, k = np.unique(refs, return_counts=True)
         return pd.DataFrame({"ref": ref, "k": k})
 
-    shipped = docs.mapInArrow(ship_out, "bucket int, keys binary, refs binary, times binary")
+    shipped = docs.mapInArrow(ship_out, buckets.SCHEMA)
     told = shipped.groupBy("bucket").applyInPandas(count, "ref long, k long").groupBy("ref").agg(F.sum("k").alias("k"))
     least = F.expr(f"1 + ceil({percent} * n / 100) div {SPARE}")
     return nodes.join(told, "ref").where(F.col("k") >= least).select("node", "ref", "owner", "n")

@@ -4,12 +4,13 @@ against brute force."""
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, decontam, exact_dedup, html_main, ngram_join, packing, pii, quality, queries, token_cache, toxicity
+from quillspark.llm import bpe, buckets, decontam, exact_dedup, html_main, ngram_join, packing, pii, quality, queries, token_cache, toxicity
 from quillspark.llm.queries import tokenizer_path
 from quillspark.llm.runtime import bit_filter, drop_rows, filter_hits
 
@@ -170,20 +171,19 @@ def test_shipped_prefixes_of_linked_sets_have_enough_in_common():
             assert len(np.intersect1d(x, y)) >= max(least, most)
 
 
-def test_shared_hashes_are_counted_whatever_the_chunks():
+@pytest.mark.parametrize("least", [2, 3])
+def test_shared_hashes_are_found_whatever_the_chunks(least):
     rng = np.random.default_rng(6)
-    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 40)).astype(np.uint64) << np.uint64(20)) for _ in range(40)]
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 40)).astype(np.uint64) << np.uint64(20)) + np.uint64(k % 4) for k in range(40)]
+    every, times = np.unique(np.concatenate(sets), return_counts=True)
+    want = {(k + 1, int(x)) for k, s in enumerate(sets) for x in buckets.keys_of(s[np.isin(s, every[times >= least])], 4)}
     for chunk in (1, 7, 40):
         rows = {}
         for i in range(0, len(sets), chunk):
-            for bucket, *row in ngram_join._shipped(sets[i : i + chunk], list(range(i + 1, min(i + chunk, 40) + 1)), 4):
+            for bucket, *row in buckets.shipped(sets[i : i + chunk], list(range(i + 1, min(i + chunk, 40) + 1)), 4, least):
                 rows.setdefault(bucket, []).append(row)
-        got = np.zeros(41, int)
-        for parts in rows.values():
-            ref, k = ngram_join._shared(parts)
-            np.add.at(got, ref, k)
-        every, times = np.unique(np.concatenate(sets), return_counts=True)
-        assert got[1:].tolist() == [int(np.isin(s, every[times > 1]).sum()) for s in sets]
+        got = {(int(r), int(k)) for b, parts in rows.items() for r, k in zip(*buckets.shared(parts, b, least))}
+        assert got == want
 
 
 def test_near_duplicates(spark):
@@ -303,6 +303,29 @@ def test_html_examines_all_blocks(spark):
         assert got[20 + i] == f"{words('same', 40)} z{i}"
 
 
+def test_html_of_bad_markup(spark):
+    cases = {
+        "<article><p title=it's>Hello, don't drop me</p><p>Tail text.</p></article>": "Hello, don't drop me Tail text.",
+        "<article><h1 class='post-header'>Head</h1><section class=related-work>Work</section><div class='comments-area'>no</div><div class=ad-box>no</div></article>": "Head Work",
+        "<p>1 < 2 and <3 <b>x</b> <": "1 < 2 and <3 x <",
+        "a<!-- no": "a",
+        "a<!doctype": "a",
+        "a <b title='x>y": "a y",
+        "<div><select><p>in</div>out": "in out",
+        "a<script>no</script >b": "a b",
+    }
+    for html, want in cases.items():
+        assert " ".join(t for _, t in html_main.blocks(html)) == want, html
+    for bad in ("<a ", "<a x='", "<a x=\"'>", "<div></p>", "</p><div>", "<select>", "<!-", "<![", "<x <", "<p x==", "&am"):
+        start = time.process_time()
+        html_main.blocks(bad * 100_000)
+        assert time.process_time() - start < 5, bad  # a quadratic scan would take hours
+    rows = [(1, "http://h/", "word " * 200_000), (1, "http://h/", "word " * 200_000), (None, None, "x"), (None, None, "x")]
+    df = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, content int")
+    got = sorted(((r["page_id"] or 0, r["n_chars"]) for r in html_main.extract(df).collect()))
+    assert got == [(0, 1), (0, 1), (1, 999_999), (1, 999_999)]
+
+
 def labelled(spark):
     rng = random.Random(6)
     calm, bad = [f"calm{i}" for i in range(80)], ["idiot", "moron", "scum"]

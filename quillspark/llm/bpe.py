@@ -2,7 +2,8 @@
 
 A byte pair that occurs inside no token of the vocabulary can never be merged across, so a cut between
 its two bytes is certain. Each pre-token is cut at such pairs, the fragments are encoded independently by
-merge rank, and their ids are concatenated. Encoded pre-tokens are kept in a bounded table per worker.
+merge rank, and their ids are concatenated. What stands between two spaces is encoded once and kept in a bounded table
+per worker.
 
 Defined results: a null text counts as empty and gives no ids; a null id list decodes to the empty text;
 an added token's string inside a text becomes its one id, as the tokenizer file says; rows are returned
@@ -58,6 +59,10 @@ def pre_tokens(text: str) -> list[str]:
     return splitter(255).findall(text)
 
 
+#: A space with white space beside it; a last one has none after it, as in a longer text.
+_BESIDE = re.compile(f" [{SPACES}]|[{SPACES}] ")
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-ins of byte-level vocabularies: character to byte."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -71,6 +76,7 @@ class ByteBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._assert_plain(spec)
         back = byte_alphabet()
         raw = lambda piece: bytes(back[c] for c in piece)
         vocab = {raw(piece): i for piece, i in spec["model"]["vocab"].items()}
@@ -92,9 +98,20 @@ class ByteBpe:
             self.tokens[i] = token
         for token, i in self.added.items():
             self.tokens[i] = token.encode()
-        self.table: dict[str, tuple[int, ...]] = {}
+        self.table: dict[str, bytes] = {}
         self.compiled = self._compiled(vocab)
 
+    @staticmethod
+    def _assert_plain(spec: dict) -> None:
+        """Raises an error if the file asks for anything that is not done here."""
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+        odd += [f"added {k}" for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized") if t.get(k)]
+        if spec.get("normalizer") or model.get("type") != "BPE" or odd:
+            raise ValueError(f"not a plain byte-level BPE file: {odd or 'normalizer or model'}")
+        if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or (spec.get("decoder") or {}).get("type") != "ByteLevel":
+            raise ValueError("not a byte-level pre-tokenizer and decoder")
+
     def _compiled(self, vocab: dict[bytes, int]):
         """A compiled merge loop, where ids rise with merge ranks, so that ids can stand for ranks; else None."""
         import tiktoken
@@ -159,30 +176,43 @@ class ByteBpe:
                     heapq.heappush(heap, (merges[p][0], a, p))
         return [x for x, own in zip(ids, alive) if own]
 
-    def word(self, word: str) -> tuple[int, ...]:
-        got = self.table.get(word)
-        if got is None:
-            out: list[int] = []
-            for fragment in self.fragments(word.encode("utf-8", "surrogatepass")):
-                out += self.merge(fragment)
-            if len(self.table) >= TABLE_SIZE:
-                self.table.clear()
-            got = tuple(out)
-            if len(word) <= 64:
-                self.table[word] = got
+    def word(self, word: str) -> bytes:
+        """The ids of one pre-token, as little-endian int32."""
+        out: list[int] = []
+        for fragment in self.fragments(word.encode("utf-8", "surrogatepass")):
+            out += self.merge(fragment)
+        return np.array(out, "<i4").tobytes()
+
+    def spaced(self, rest: str) -> bytes:
+        """The ids of a space and the text up to the next one."""
+        got = b"".join(map(self.word, pre_tokens(" " + rest)))
+        if len(self.table) >= TABLE_SIZE:
+            self.table.clear()
+        if len(rest) <= 64:
+            self.table[rest] = got
         return got
 
+    def _encoded(self, text: str) -> bytes:
+        """A text without added tokens. No pre-token crosses a space that has no white space beside it, so what
+        stands between two such spaces is encoded alone, and remembered."""
+        if not text:
+            return b""
+        if _BESIDE.search(text):
+            return b"".join(map(self.word, pre_tokens(text)))
+        get, spaced = self.table.get, self.spaced
+        first, *rest = text.split(" ")
+        parts = [get(x) or spaced(x) for x in rest]
+        return b"".join([*map(self.word, pre_tokens(first)), *parts])
+
+    def encode_bytes(self, text: str) -> bytes:
+        """The text's ids as little-endian int32."""
+        if not (self.added_split and any(t in text for t in self.added)):
+            return self._encoded(text)
+        parts = self.added_split.split(text)
+        return b"".join(np.array([self.added[p]], "<i4").tobytes() if k % 2 else self._encoded(p) for k, p in enumerate(parts))
+
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        get, word = self.table.get, self.word
-        parts = self.added_split.split(text) if self.added_split and any(t in text for t in self.added) else (text,)
-        for k, part in enumerate(parts):
-            if k % 2:
-                out.append(self.added[part])
-            else:
-                for w in pre_tokens(part):
-                    out += get(w) or word(w)
-        return out
+        return np.frombuffer(self.encode_bytes(text), "<i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
@@ -193,9 +223,13 @@ def load(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def _batches(column: pa.Array, rows: int = 256) -> Iterator[list]:
-    for i in range(0, len(column), rows):
-        yield column.slice(i, rows).to_pylist()
+def _ids(bpe: ByteBpe, texts: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(bpe.encode_bytes(t) if t else b"", "<i4") for t in texts.to_pylist()]
+
+
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
 
 
 def encode(df: DataFrame, tokenizer: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -207,10 +241,7 @@ def encode(df: DataFrame, tokenizer: str, text_col: str = "text", keep: tuple[st
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                lists = [bpe.encode(t) if t else [] for t in part.column(len(keep)).to_pylist()]
-                ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-                flat = np.fromiter((x for ids in lists for x in ids), np.int32, int(ends[-1]))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*keep, "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], _lists(_ids(bpe, part.column(len(keep))))], [*keep, "ids"])
 
     source = df.select(*keep, F.col(text_col).alias("__quill_text"))
     return source.mapInArrow(run, f"{fields}, ids array<int>")
@@ -240,10 +271,8 @@ def round_trip(df: DataFrame, tokenizer: str, text_col: str = "text", keep: tupl
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                lists = [bpe.encode(t) if t else [] for t in part.column(len(keep)).to_pylist()]
-                ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-                flat = np.fromiter((x for ids in lists for x in ids), np.int32, int(ends[-1]))
-                texts = pa.array([bpe.decode(ids) for ids in lists], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), texts], [*keep, "ids", "decoded"])
+                lists = _ids(bpe, part.column(len(keep)))
+                texts = pa.array([bpe.decode(ids.tolist()) for ids in lists], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], _lists(lists), texts], [*keep, "ids", "decoded"])
 
     return df.select(*keep, F.col(text_col).alias("__quill_text")).mapInArrow(run, f"{fields}, ids array<int>, decoded string")

@@ -2,7 +2,9 @@
 
 A document longer than a row is split losslessly into pieces. Pieces are placed longest first, each into the
 row with the least room that still holds it; the segment tree over room sizes finds that size in O(log length).
-Each task packs its stream in groups of GROUP_TOKENS, so memory is bounded and nothing is shuffled.
+Each task packs its stream in groups of GROUP_TOKENS, so memory is bounded and nothing is shuffled: a text's ids
+are made, packed and written where the text is read. A group is named by its first document and that one's digest, so the
+name of a row does not depend on the number of its task.
 
 Defined results: an empty or null id list takes no room and is in no row; every other id stands in exactly one
 place; repeated rows are packed as often as given; an empty table gives no rows. Other columns are not read.
@@ -11,14 +13,16 @@ place; repeated rows are packed as often as given; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GROUP_TOKENS = 4_000_000
+from . import bpe
+
+GROUP_TOKENS = 1_000_000
 
 
 class Rooms:
@@ -72,6 +76,37 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
     return rows
 
 
+Piece = tuple[object, int, np.ndarray]
+
+
+def _groups(rows: Iterator[tuple[object, np.ndarray]], length: int, group_tokens: int) -> Iterator[list[tuple[str, list[Piece]]]]:
+    """Rows (document, ids) to packed rows (name, pieces), some at a time; a piece is (document, offset, ids)."""
+    held: list[Piece] = []
+    size = 0
+
+    def done() -> Iterator[list[tuple[str, list[Piece]]]]:
+        name = f"{held[0][0]}-{blake2b(b''.join(x.tobytes() for _, _, x in held), digest_size=8).hexdigest()}"
+        packed = [(f"{name}-{k}", [held[i] for i in row]) for k, row in enumerate(best_fit([len(x) for _, _, x in held], length))]
+        for i in range(0, len(packed), 64):
+            yield packed[i : i + 64]
+
+    for own, ids in rows:
+        held += [(own, at, ids[at : at + length]) for at in range(0, len(ids), length)]
+        size += len(ids)
+        if size >= group_tokens:
+            yield from done()
+            held, size = [], 0
+    if held:
+        yield from done()
+
+
+def _segments(packed: list[tuple[str, list[Piece]]], kind: pa.DataType) -> list[pa.Array]:
+    """pack_id, cu_seqlens, doc_ids and offsets of packed rows."""
+    ints = pa.list_(pa.int32())
+    cu = [np.cumsum([0, *(len(x) for _, _, x in row)]).astype(np.int32) for _, row in packed]
+    return [pa.array([n for n, _ in packed]), pa.array(cu, ints), pa.array([[d for d, _, _ in row] for _, row in packed], pa.list_(kind)), pa.array([[o for _, o, _ in row] for _, row in packed], ints)]
+
+
 def pack(df: DataFrame, length: int = 2048, id_col: str = "doc_id", ids_col: str = "ids", group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """Rows of at most `length` ids: pack_id, ids, cu_seqlens, positions, doc_ids, offsets.
 
@@ -79,77 +114,66 @@ def pack(df: DataFrame, length: int = 2048, id_col: str = "doc_id", ids_col: str
     and offsets say which document a segment is of, and from which of its ids on.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"pack_id string, ids array<int>, cu_seqlens array<int>, positions array<int>, doc_ids array<{kind}>, offsets array<int>"
+    schema = f"pack_id string, cu_seqlens array<int>, doc_ids array<{kind}>, offsets array<int>, ids array<int>, positions array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, group, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def done() -> Iterator[pa.RecordBatch]:
-            rows = best_fit([len(ids) for _, _, ids in held], length)
-            for start in range(0, len(rows), 512):
-                out: list[list] = [[], [], [], [], [], []]
-                for k, row in enumerate(rows[start : start + 512], start):
-                    lists = [held[i][2] for i in row]
-                    out[0].append(f"{part}-{group}-{k}")
-                    out[1].append(np.concatenate(lists))
-                    out[2].append(np.cumsum([0, *map(len, lists)]).astype(np.int32))
-                    out[3].append(np.concatenate([np.arange(len(x), dtype=np.int32) for x in lists]))
-                    out[4].append([held[i][0] for i in row])
-                    out[5].append([held[i][1] for i in row])
-                yield pa.RecordBatch.from_pydict(
-                    {"pack_id": out[0], "ids": pa.array(out[1], pa.list_(pa.int32())), "cu_seqlens": pa.array(out[2], pa.list_(pa.int32())), "positions": pa.array(out[3], pa.list_(pa.int32())), "doc_ids": pa.array(out[4], pa.list_(id_type)), "offsets": pa.array(out[5], pa.list_(pa.int32()))}
-                )
-
-        for batch in batches:
-            id_type = batch.column(0).type
-            for i in range(batch.num_rows):
-                if not batch.column(1)[i].is_valid:
-                    continue
-                own, ids = batch.column(0)[i].as_py(), batch.column(1)[i].values.to_numpy(zero_copy_only=False)
-                for at in range(0, len(ids), length):
-                    held.append((own, at, ids[at : at + length].astype(np.int32)))
-                size += len(ids)
-                if size >= group_tokens:
-                    yield from done()
-                    held, size, group = [], 0, group + 1
-        if held:
-            yield from done()
+        types = []
 
-    return df.select(F.col(id_col), F.col(ids_col).cast("array<int>")).mapInArrow(run, schema)
+        def rows() -> Iterator[tuple[object, np.ndarray]]:
+            for batch in batches:
+                types[:] = [batch.column(0).type]
+                for i in range(batch.num_rows):
+                    if batch.column(1)[i].is_valid:
+                        yield batch.column(0)[i].as_py(), batch.column(1)[i].values.to_numpy(zero_copy_only=False).astype("<i4")
 
+        ints = pa.list_(pa.int32())
+        for packed in _groups(rows(), length, group_tokens):
+            ids = pa.array([np.concatenate([x for _, _, x in row]) for _, row in packed], ints)
+            positions = pa.array([np.concatenate([np.arange(len(x), dtype=np.int32) for _, _, x in row]) for _, row in packed], ints)
+            yield pa.RecordBatch.from_arrays([*_segments(packed, types[0]), ids, positions], ["pack_id", "cu_seqlens", "doc_ids", "offsets", "ids", "positions"])
 
-def byte_ids(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", end: int = 256) -> DataFrame:
-    """Each text's UTF-8 bytes as ids 0 to 255, then the id `end`; a null text counts as empty."""
-    kind = df.schema[id_col].dataType.simpleString()
+    packed = df.select(F.col(id_col), F.col(ids_col).cast("array<int>")).mapInArrow(run, schema)
+    return packed.select("pack_id", "ids", "cu_seqlens", "positions", "doc_ids", "offsets")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                lists = [np.append(np.frombuffer((t or "").encode(), np.uint8).astype(np.int32), np.int32(end)) for t in part.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))], ["doc_id", "ids"])
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+def matrix(df: DataFrame, tokenizer: str, length: int = 2048, end: str | None = None, pad: int = 0, id_col: str = "doc_id", text_col: str = "text", group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """Texts encoded and packed in one pass: pack_id, cu_seqlens, doc_ids, offsets, matrix_row, position_resets.
 
+    matrix_row holds exactly `length` ids as little-endian int32 bytes, padded with `pad`; position_resets are the places
+    at which positions restart from 0, that of the padding included. end: an added token put after each text, empty ones too.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+    schema = f"pack_id string, cu_seqlens array<int>, doc_ids array<{kind}>, offsets array<int>, matrix_row binary, position_resets array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, own = [], bpe.load(tokenizer)
+        after = np.array([] if end is None else [own.added[end]], "<i4").tobytes()
 
-def write_packed(packed: DataFrame, folder: str, length: int, pad: int = 0) -> None:
-    """Writes the id matrix as Parquet: one row of exactly `length` ids as little-endian int32 bytes, the segments beside it."""
+        def rows() -> Iterator[tuple[object, np.ndarray]]:
+            for batch in batches:
+                types[:] = [batch.column(0).type]
+                for i in range(0, batch.num_rows, 256):
+                    part = batch.slice(i, 256)
+                    for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                        yield name, np.frombuffer((own.encode_bytes(text) if text else b"") + after, "<i4")
 
-    @F.pandas_udf("binary")
-    def dense(ids):
-        return ids.map(lambda x: np.pad(np.asarray(x, "<i4"), (0, length - len(x)), constant_values=pad).tobytes())
+        for packed in _groups(rows(), length, group_tokens):
+            out = np.full((len(packed), length), pad, "<i4")
+            for k, (_, row) in enumerate(packed):
+                ids = np.concatenate([x for _, _, x in row])
+                out[k, : len(ids)] = ids
+            segments = _segments(packed, types[0])
+            resets = pa.array([c[:-1] if c[-1] == length else c for c in (x.values.to_numpy() for x in segments[1])], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*segments, pa.array([x.tobytes() for x in out], pa.binary()), resets], ["pack_id", "cu_seqlens", "doc_ids", "offsets", "matrix_row", "position_resets"])
 
-    packed.withColumn("matrix_row", dense("ids")).drop("ids").write.parquet(folder)
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
-def read_packed(spark: SparkSession, folder: str) -> DataFrame:
-    """What write_packed wrote, with `ids` read from the matrix: the row without its padding."""
+def write_matrix(packed: DataFrame, folder: str) -> None:
+    """Writes the id matrix, one Parquet row for each of its rows, the segments beside it."""
+    packed.write.parquet(folder)
 
-    @F.pandas_udf("array<int>")
-    def sparse(rows, n):
-        return pd.Series([np.frombuffer(row, "<i4")[:k] for row, k in zip(rows, n)])
 
-    return spark.read.parquet(folder).withColumn("ids", sparse("matrix_row", F.element_at("cu_seqlens", -1)))
+def read_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    """What write_matrix wrote."""
+    return spark.read.parquet(folder)

@@ -34,19 +34,19 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, folder = tokenizer_path("byte_bpe_50k.json"), new_folder(spark, "packed")
-    ids = bpe.encode(table(spark, sf_dir, "documents"), path)
-    ids = ids.withColumn("ids", F.concat("ids", F.array(F.lit(bpe.load(path).added["<|endoftext|>"]))))  # each text's end
-    packing.write_packed(packing.pack(ids, length=8192), folder, 8192)
-    return packing.read_packed(spark, folder).select(
+    """The written id matrix as it is read back: its rows' digests (of the ids without padding, little-endian int32) and segments."""
+    folder = new_folder(spark, "packed")
+    packing.write_matrix(packing.matrix(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), length=8192, end="<|endoftext|>"), folder)
+    n = F.element_at("cu_seqlens", -1)
+    return packing.read_matrix(spark, folder).select(
         "pack_id",
-        F.size("ids").cast("long").alias("n_tokens"),
+        n.cast("long").alias("n_tokens"),
         F.size("doc_ids").cast("long").alias("n_segments"),
         "doc_ids",
         "offsets",
         "cu_seqlens",
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.expr("cast(size(filter(positions, p -> p = 0)) as long)").alias("n_resets"),
+        F.sha2(F.substring("matrix_row", F.lit(1), 4 * n), 256).alias("ids_sha256"),
+        F.size("position_resets").cast("long").alias("n_resets"),
     )
 
 

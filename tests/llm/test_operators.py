@@ -2,6 +2,7 @@
 against brute force."""
 
 import hashlib
+import json
 import random
 import re
 import time
@@ -42,6 +43,21 @@ def test_bpe_matches_the_library(spark):
     assert bpe.round_trip(empty(spark), path).count() == 0
 
 
+def test_bpe_of_white_space_and_odd_files():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    library, table, rng = Tokenizer.from_file(path), bpe.load(path), random.Random(7)
+    for _ in range(3000):
+        t = "".join(rng.choice([" ", " ", "  ", "\n", "\t", "\u3000", "\x1c", "a", "it's", "'ll", "9", "é日", "!?", "word"]) for _ in range(rng.randint(0, 14)))
+        assert table.encode(t) == library.encode(t, add_special_tokens=False).ids, t
+    spec = json.load(open(path))
+    bpe.ByteBpe._assert_plain(spec)
+    for odd in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": spec["model"] | {"byte_fallback": True}}):
+        with pytest.raises(ValueError):
+            bpe.ByteBpe._assert_plain(spec | odd)
+
+
 def test_bpe_cuts_are_certain_and_both_merge_loops_agree():
     table = bpe.load(tokenizer_path("byte_bpe_50k.json"))
     plain = bpe.ByteBpe(tokenizer_path("byte_bpe_50k.json"))
@@ -79,7 +95,8 @@ def test_packing_query_writes_token_ids(spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    docs(spark, ODD).write.parquet(str(tmp_path / "documents.parquet"))
+    texts = [*ODD, "a", "a"]
+    docs(spark, texts).union(docs(spark, ["again"], 3).withColumn("doc_id", F.lit(None).cast("long"))).write.parquet(str(tmp_path / "documents.parquet"))
     monkeypatch.setattr(queries, "new_folder", lambda *_: str(tmp_path / "packed"))
     shown = {r["pack_id"]: r for r in queries.op2_packing(spark, str(tmp_path)).collect()}
     back = {}
@@ -87,13 +104,16 @@ def test_packing_query_writes_token_ids(spark, tmp_path, monkeypatch):
         assert len(r["matrix_row"]) == 4 * 8192
         row, n = np.frombuffer(r["matrix_row"], "<i4"), r["cu_seqlens"][-1]
         assert not row[n:].any()
+        assert r["position_resets"] == (r["cu_seqlens"] if n < 8192 else r["cu_seqlens"][:-1])
         own = shown.pop(r["pack_id"])
-        assert own["n_tokens"] == n and own["ids_sha256"] == hashlib.sha256(",".join(map(str, row[:n])).encode()).hexdigest()
+        assert own["n_tokens"] == n and own["ids_sha256"] == hashlib.sha256(row[:n].tobytes()).hexdigest() and own["n_resets"] == len(r["position_resets"])
         for k, (d, o) in enumerate(zip(r["doc_ids"], r["offsets"])):
             back.setdefault(d, {})[o] = row[r["cu_seqlens"][k] : r["cu_seqlens"][k + 1]].tolist()
     assert not shown
     end = library.token_to_id("<|endoftext|>")
-    assert {d: [x for o in sorted(p) for x in p[o]] for d, p in back.items()} == {i: [*library.encode(t or "", add_special_tokens=False).ids, end] for i, t in enumerate(ODD)}
+    want = {i: [*library.encode(t or "", add_special_tokens=False).ids, end] for i, t in [*enumerate(texts), (None, "again")]}
+    assert {d: [x for o in sorted(p) for x in p[o]] for d, p in back.items()} == want
+    assert packing.matrix(empty(spark), tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
 def test_dedup(spark):

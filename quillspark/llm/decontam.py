@@ -3,12 +3,13 @@
 A text's words are hashed in overlapping runs of GRAM; of every WINDOW neighbouring hashes the smallest is
 kept. Equal runs of GRAM + WINDOW - 1 words have one full window of equal hashes, so they share a kept
 hash, whatever stands around them: with 5 and 6, every shared run of 10 words is found. Kept hashes of
-documents and items are joined, and each hit is extended word by word to its longest equal run, which
-settles it exactly. Items of fewer words than a span are one run of their own length.
+documents and items are joined; in the documents that have a hit, each hit is extended to the windows of 10 words around
+it, and these are compared with the items' windows as text, which settles it exactly. Items of fewer words are one window of
+their own length. Every step makes rows in proportion to a text's words, whatever the text repeats.
 
-Defined results: a null text has no words; an item with a null identifier cannot be named and is left out;
-items that share an identifier count as one; a repeated row is returned as often as given; an empty
-documents table gives no rows, and with no items no document is hit. Other columns are not read.
+Defined results: a null text has no words; words that stand in an item with a null identifier are hit, but the item
+cannot be named and is not counted; items that share an identifier count as one; a repeated row is returned as often as
+given; an empty documents table gives no rows, and with no items no document is hit. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import fold_ascii, materialize, pinned
+from .runtime import bit_filter, filter_hits, fold_ascii, materialize, pinned
 
 GRAM, WINDOW = 5, 6
 SPAN = GRAM + WINDOW - 1
@@ -40,74 +41,77 @@ def winnowed(of: str) -> Column:
     return F.expr(f"array_distinct(transform(if(size({of}) < {WINDOW}, array(), sequence(1, size({of}) - {WINDOW - 1})), i -> array_min(slice({of}, i, {WINDOW}))))")
 
 
-def item_marks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Each item's words, and for each kept hash its places in the item: item_id, item, n, gram, mark, places."""
-    items = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("item"))
-    items = items.where(F.size("item") > 0).distinct().withColumn("n", F.size("item"))
-    full = items.where(F.col("n") >= SPAN).withColumn("h", grams("item", GRAM))
-    full = full.withColumn("mark", F.explode(winnowed("h"))).withColumn("gram", F.lit(GRAM))
-    full = full.withColumn("places", F.expr("filter(sequence(1, size(h)), i -> h[i - 1] = mark)"))
-    short = items.where(F.col("n") < SPAN).withColumn("mark", F.xxhash64("item", "n")).withColumn("gram", F.col("n")).withColumn("places", F.array(F.lit(1)))
-    columns = ["item_id", "item", "n", "gram", "mark", "places"]
-    return full.select(*columns).unionByName(short.select(*columns))
-
-
-def _extended(hits: DataFrame) -> DataFrame:
-    """hits (key columns, words, h, mark, item_id, item, n, gram, places) to the equal runs that are long enough."""
-    again = "transform(if(size(words) < gram, array(), sequence(1, size(words) - gram + 1)), i -> xxhash64(slice(words, i, gram), gram))"
-    out = pinned(hits, own=F.expr(f"if(gram = {GRAM}, h, {again})"))
-    out = out.withColumn("own", F.expr("filter(sequence(1, size(own)), i -> own[i - 1] = mark)"))
-    out = out.withColumn("place", F.explode("places")).withColumn("own", F.explode("own"))
-    out = out.withColumn("shift", F.expr("own - place"))
-    # the part of the item that lies within the document at this shift, and where the two differ in it
-    out = out.withColumn("low", F.expr("greatest(1, 1 - shift)")).withColumn("high", F.expr("least(n, size(words) - shift)"))
-    out = pinned(out.where("low <= high"), unlike=F.expr("filter(sequence(low, high), j -> words[j + shift - 1] <> item[j - 1])"))
-    out = pinned(out, before=F.expr("coalesce(array_max(filter(unlike, j -> j < place + gram)), low - 1)"))
-    out = out.withColumn("after", F.expr("coalesce(array_min(filter(unlike, j -> j > before)), high + 1)"))
-    out = out.where(F.expr(f"before < place and after - before - 1 >= least({SPAN}, n)"))
-    return out.select("doc_id", "twin", "item_id", F.struct((F.col("before") + F.col("shift") + 1).alias("a"), (F.col("after") + F.col("shift") - 1).alias("b")).alias("run"))
+def windows(of: str, n: int) -> Column:
+    """Each run of n words as (place, span, run); empty if there are fewer. Words hold no space, so a run joined by spaces is unambiguous."""
+    return F.expr(f"transform(if(size({of}) < {n}, array(), sequence(1, size({of}) - {n - 1})), i -> named_struct('place', i, 'span', {n}, 'run', array_join(slice({of}, i, {n}), ' ')))")
+
+
+def item_tables(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The items' windows (run, span, item_id) and kept hashes (mark, span), each once."""
+    items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), words(F.col(text_col)).alias("item")).where(F.size("item") > 0)
+    items = pinned(items, n=F.size("item"))
+    full, short = items.where(F.col("n") >= SPAN), items.where(F.col("n") < SPAN)
+    runs = full.select("item_id", F.explode(windows("item", SPAN)).alias("w")).select("w.run", "w.span", "item_id")
+    runs = runs.unionByName(short.select(F.array_join("item", " ").alias("run"), F.col("n").alias("span"), "item_id"))
+    marks = pinned(full, h=grams("item", GRAM)).select(F.explode(winnowed("h")).alias("mark"), F.lit(SPAN).alias("span"))
+    marks = marks.unionByName(short.select(F.xxhash64("item", "n").alias("mark"), F.col("n").alias("span")))
+    return materialize(runs.distinct(), "decontam-windows"), materialize(marks.distinct(), "decontam-marks")
+
+
+def _sized(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_hit, n_items, item_ids (sorted), contaminated."""
-    marks = materialize(item_marks(benchmark, item_col, item_text_col), "decontam-marks")
-    told = marks.agg(F.sum(F.length(F.concat_ws(" ", "item"))), F.collect_set("gram")).first()
-    small, sizes = (told[0] or 0) <= broadcast_bytes, [g for g in told[1] if g != GRAM]
+    runs, marks = item_tables(benchmark, item_col, item_text_col)
+    # every word of an item begins at most one window
+    told = runs.agg(F.sum(F.length("run") / F.col("span") * 4), F.collect_set("span")).first()
+    small, spans = (told[0] or 0) <= broadcast_bytes, sorted(told[1])
+    short = [n for n in spans if n < SPAN]
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    texts = pinned(texts.withColumn("twin", F.md5("body")), words=words(F.col("body"))).drop("body")
-    texts = pinned(texts, h=grams("words", GRAM))
+    texts = texts.withColumn("twin", F.md5("body"))
+    split = pinned(pinned(texts, words=words(F.col("body"))), h=grams("words", GRAM))
     kept = winnowed("h")
-    # items of as many words as a gram are kept in full
-    for n in sizes:
+    for n in short:  # items of so many words are marked as a whole
         kept = F.concat(kept, grams("words", n))
-    if marks.where(F.col("gram") == GRAM).where(F.col("n") == GRAM).limit(1).count():
-        kept = F.concat(kept, F.col("h"))
     # one more mark, that of no text, brings each document through with its number of words
-    texts = texts.withColumn("marks", F.concat(F.array(F.lit(None).cast("long")), F.array_distinct(kept)))
-    every = texts.select("doc_id", "twin", "words", "h", F.explode("marks").alias("mark")).withColumn("self", F.col("mark").isNull()).withColumn("mark", F.coalesce("mark", F.lit(0)))
-
+    every = split.withColumn("n_words", F.size("words")).withColumn("marks", F.concat(F.array(F.lit(None).cast("long")), F.array_distinct(kept)))
+    every = every.select("doc_id", "twin", "n_words", F.explode("marks").alias("mark")).withColumn("self", F.col("mark").isNull()).withColumn("mark", F.coalesce("mark", F.lit(0)))
+    named = marks.select("mark").distinct().withColumn("self", F.lit(False))
+    none = marks.sparkSession.range(1).select(F.lit(0).cast("long").alias("mark"), F.lit(True).alias("self"))
     if small:
-        table = marks.withColumn("self", F.lit(False))
-        none = marks.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in marks.schema]).withColumns({"mark": F.lit(0).cast("long"), "self": F.lit(True)})
-        found = every.join(F.broadcast(table.unionByName(none)), ["mark", "self"])
-        found = materialize(
-            found.select("doc_id", "twin", F.when(F.col("self"), F.size("words")).alias("n_words"), *[F.when(~F.col("self"), F.col(c)).alias(c) for c in ("words", "h", "mark")], "item_id", "item", "n", "gram", "places"),
-            "decontam-found",
-        )
-        told = found.where("n_words is not null").select("doc_id", "twin", "n_words")
-        runs = _extended(found.where("n_words is null"))
+        found = every.join(F.broadcast(named.unionByName(none)), ["mark", "self"])
+        found = materialize(found.select("doc_id", "twin", "self", F.when(F.col("self"), F.col("n_words")).alias("n_words")), "decontam-found")
+        told, hits = found.where("self").select("doc_id", "twin", "n_words"), found.where("not self")
     else:
-        told = texts.select("doc_id", "twin", F.size("words").alias("n_words"))
-        pairs = every.where("not self").select("doc_id", "twin", "mark").join(marks.select("mark", "item_id"), "mark").select("doc_id", "twin", "item_id", "mark").distinct()
-        held = texts.select("doc_id", "twin", "words", "h").distinct()
-        hits = held.join(pairs.withColumnsRenamed({"doc_id": "i", "twin": "t"}), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("twin") == F.col("t"))).drop("i", "t")
-        runs = _extended(hits.join(marks, ["item_id", "mark"]))
-
-    rows = told.select("doc_id", "twin", "n_words", F.lit(None).cast("bigint").alias("item_id"), F.lit(None).cast("struct<a:int,b:int>").alias("run"))
-    runs = runs.select("doc_id", "twin", F.lit(None).cast("int").alias("n_words"), F.col("item_id"), F.col("run").cast("struct<a:int,b:int>"))
-    both = rows.withColumn("item_id", F.col("item_id").cast(runs.schema["item_id"].dataType)).unionByName(runs.distinct())
-    out = both.groupBy("doc_id", "twin").agg(F.count("n_words").alias("copies"), F.max("n_words").cast("long").alias("n_words"), F.collect_set("run").alias("runs"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
-    out = out.withColumn("n_hit", F.expr("cast(size(array_distinct(flatten(transform(runs, r -> sequence(r.a, r.b))))) as long)"))
-    out = out.withColumn("copy", F.explode(F.expr("sequence(1, copies)")))
+        told = split.select("doc_id", "twin", F.size("words").alias("n_words"))
+        hits = every.where("not self").select("doc_id", "twin", "mark").join(named.select("mark"), "mark", "left_semi")
+    suspects = materialize(hits.select("doc_id", "twin").distinct(), "decontam-suspects")
+
+    # the whole texts of the suspects, each once
+    held = filter_hits(texts, bit_filter(suspects, "doc_id", "twin"), [F.col("doc_id"), F.col("twin")], "hit").where("hit")
+    other = suspects.select(F.col("doc_id").alias("i"), F.col("twin").alias("t"))
+    held = held.join(other, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("twin") == F.col("t")), "left_semi").dropDuplicates(["doc_id", "twin"])
+    held = pinned(pinned(held.select("doc_id", "twin", "body"), words=words(F.col("body"))).drop("body"), h=grams("words", GRAM))
+    seeds = held.select("doc_id", "twin", "words", F.posexplode("h").alias("at", "mark")).join(_sized(marks.where(f"span = {SPAN}").select("mark"), small), "mark")
+    around = F.expr(f"sequence(greatest(1, at + {2 - WINDOW}), least(at + 1, size(words) - {SPAN - 1}))")
+    seeds = seeds.where(f"size(words) >= {SPAN}").select("doc_id", "twin", "words", F.explode(around).alias("place"))
+    seen = seeds.select("doc_id", "twin", "place", F.lit(SPAN).alias("span"), F.expr(f"array_join(slice(words, place, {SPAN}), ' ')").alias("run")).distinct()
+    for n in short:
+        seen = seen.unionByName(held.select("doc_id", "twin", F.explode(windows("words", n)).alias("w")).select("doc_id", "twin", "w.place", "w.span", "w.run"))
+    equal = seen.join(_sized(runs.select("run", "span").distinct(), small), ["run", "span"], "left_semi")
+    equal = materialize(equal.select("doc_id", "twin", "place", "span", "run"), "decontam-equal")
+    items = equal.select("doc_id", "twin", "run", "span").distinct().join(_sized(runs, small), ["run", "span"]).where("item_id is not null").select("doc_id", "twin", "item_id").distinct()
+
+    blank = lambda kind: F.lit(None).cast(kind)
+    piece = "struct<place:int,span:int>"
+    rows = told.select("doc_id", "twin", "n_words", blank(piece).alias("piece"), blank("string").alias("item_id"))
+    rows = rows.unionByName(equal.select("doc_id", "twin", blank("int").alias("n_words"), F.struct("place", "span").cast(piece).alias("piece"), blank("string").alias("item_id")))
+    rows = rows.unionByName(items.select("doc_id", "twin", blank("int").alias("n_words"), blank(piece).alias("piece"), "item_id"))
+    out = rows.groupBy("doc_id", "twin").agg(F.count("n_words").alias("copies"), F.max("n_words").cast("long").alias("n_words"), F.array_sort(F.collect_set("piece")).alias("pieces"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    # words in at least one of the pieces, which are in order of place
+    fold = "aggregate(pieces, named_struct('top', 0, 'n', 0L), (a, p) -> named_struct('top', greatest(a.top, p.place + p.span - 1), 'n', a.n + greatest(0, p.place + p.span - 1 - greatest(a.top, p.place - 1)))).n"
+    out = out.withColumn("n_hit", F.expr(fold)).withColumn("copy", F.explode(F.expr("sequence(1, copies)")))
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.col("n_hit") > 0).alias("contaminated"))

@@ -9,7 +9,8 @@ rows and whole texts are scored.
 
 Defined results: a null text counts as empty, a null language or source as its own value, a null length as 0;
 where the labels lack one of the two classes, every score is 1 and every row is kept; repeated rows are returned
-as often as given, and of repeated labels the least counts; an empty table gives no rows.
+as often as given, and of repeated labels the least counts; columns named quality_score or quality_kept are replaced;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import least_hashed, materialize
 
 MAX_LABELLED, MAX_UNLABELLED = 10_000, 10_000
 ROUNDS, TAUGHT, SURE = 5, 400, 0.9
@@ -35,31 +36,31 @@ SOURCES = 16
 
 
 def content_view(text: str) -> list[float]:
-    """What the text itself shows: case, symbols, repetition, word shapes."""
+    """What the text itself shows: case, symbols, repetition, word shapes, layout."""
     n = max(1, len(text))
     words = _WORD.findall(text)
-    lines = [x for x in text.split("\n") if x.strip()]
+    every = text.split("\n")
+    lines = [x for x in every if x.strip()]
     odd = _ODD.findall(text)
     k = max(1, len(words))
     letters = max(1, sum(map(len, words)))
     upper = sum(map(str.isupper, words))
-    return [upper / k, len(odd) / n, len(odd) / k, text.count("!") / k, sum(map(str.isdigit, words)) / k, letters / k, len(set(words)) / k, len(set(lines)) / max(1, len(lines)), k / n, float(not words)]
+    shape = [upper / k, len(odd) / n, len(odd) / k, text.count("!") / k, sum(map(str.isdigit, words)) / k, letters / k, len(set(words)) / k, len(set(lines)) / max(1, len(lines)), k / n, float(not words)]
+    return [*shape, np.log1p(len(every)), n / len(every) / 100, max(map(len, every)) / n]
 
 
-def metadata_view(text: str, lang: str | None, source: str | None, n_chars: float) -> list[float]:
-    """What stands beside the text: its recorded length, language, source and layout."""
-    lines = text.count("\n") + 1
-    out = [np.log1p(n_chars), np.log1p(lines), n_chars / lines / 100, max(map(len, text.split("\n"))) / max(1.0, n_chars)]
+def metadata_view(lang: str | None, source: str | None, n_chars: float) -> list[float]:
+    """What stands beside the text, which is not looked at: its recorded length, language and source."""
     langs, sources = [0.0] * 8, [0.0] * SOURCES
     langs[crc32((lang or "").encode()) % 8] = 1.0
     sources[crc32((source or "").encode()) % SOURCES] = 1.0
-    return out + langs + sources
+    return [np.log1p(max(0.0, n_chars)), *langs, *sources]
 
 
 def views(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     texts = ["" if t is None else t for t in text]
     content = np.array([content_view(t) for t in texts], float).reshape(len(texts), -1)
-    beside = [metadata_view(t, lang_, source_, 0.0 if pd.isna(n) else float(n)) for t, lang_, source_, n in zip(texts, lang, source, n_chars)]
+    beside = [metadata_view(lang_, source_, 0.0 if pd.isna(n) else float(n)) for lang_, source_, n in zip(lang, source, n_chars)]
     return content, np.array(beside, float).reshape(len(texts), -1)
 
 
@@ -128,10 +129,12 @@ def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, unlabelled:
 def train(docs: DataFrame, labels: DataFrame) -> tuple[list[Logistic], Logistic] | None:
     """The models, from docs (documents' columns) and labels (doc_id, quality); None where a class is missing."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    spread = [F.xxhash64("doc_id"), F.col("doc_id")]
-    some = known.orderBy(*spread).limit(MAX_LABELLED)
+    n_known = known.count()
+    some = least_hashed(known, "doc_id", MAX_LABELLED, n_known)
     ids = docs.select("doc_id").where("doc_id is not null")
-    rest = ids.join(known, "doc_id", "left_anti").distinct().orderBy(*spread).limit(MAX_UNLABELLED).withColumn("quality", F.lit(None).cast("int"))
+    # the bound on the hash comes before the join; it is the looser, by the labelled rows and by repeated identifiers
+    of = max(0, docs.agg(F.approx_count_distinct("doc_id")).first()[0] // 2 - n_known)
+    rest = least_hashed(ids.join(known, "doc_id", "left_anti").distinct(), "doc_id", MAX_UNLABELLED, of).withColumn("quality", F.lit(None).cast("int"))
     chosen = materialize(some.unionByName(rest.select("doc_id", F.col("quality").cast(some.schema["quality"].dataType))), "quality-chosen")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

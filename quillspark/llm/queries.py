@@ -74,7 +74,8 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_cache.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), new_folder(spark, "token-cache"))
+    cache = spark.conf.get(token_cache.CACHE_CONF, None) or new_folder(spark, "token-cache")
+    return token_cache.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), cache)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

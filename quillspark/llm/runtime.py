@@ -22,9 +22,11 @@ BITMAP_BITS = 32768
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for scratch tables; a temporary one only where the session names none."""
+    """The shared folder for scratch tables; a temporary one only where a local session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -78,6 +80,21 @@ def pinned(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
+def spread(key: Column) -> Column:
+    """A hash of key from 0 to 2 ** 63 - 1, to sample by."""
+    return F.shiftrightunsigned(F.xxhash64(key), 1)
+
+
+def least_hashed(df: DataFrame, key: str, rows: int, of: int) -> DataFrame:
+    """The `rows` rows of df with the least hash of key, where df has about `of` rows or more.
+
+    Rows far above the least are dropped by a bound on the hash before any is sorted or sent, so that the last
+    step sees some times `rows` of them, however many df has; by chance, of e ** -rows, it gives fewer.
+    """
+    share = min(1.0, 4 * rows / max(1, of))
+    return df.where(spread(F.col(key)) <= int(share * ((1 << 63) - 1024))).orderBy(spread(F.col(key)), key).limit(rows)
+
+
 def _slot(keys: list[Column]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
 

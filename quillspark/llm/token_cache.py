@@ -4,7 +4,11 @@ The cache is a Parquet table of (digest, version, n_tokens): the SHA-256 of the
 is empty; nothing else is changed, since counts depend on every byte) and of the tokenizer file. Texts are
 joined to it by both digests; only distinct misses are encoded, and their counts are appended.
 
-Defined results: an empty or null text has 0 tokens; rows are returned as often as given; an empty table
+A cache folder serves any number of runs, at the same time too: a run reads what is stored when it begins, and a digest that
+two runs append is read once. The query keeps its cache in the folder that the session's CACHE_CONF names, and in a
+new one where it names none.
+
+Defined results: an empty or null text has 0 tokens; rows of a null identifier count like others; rows are returned as often as given; an empty table
 gives no rows and appends nothing; columns other than the two named are not read.
 """
 
@@ -16,13 +20,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import FILTER_BITS, bit_filter, discard, filter_hits, materialize
 
 #: Segments kept in a worker's table; beyond that it is emptied.
 TABLE_SIZE = 400_000
+#: The setting that names a lasting cache folder.
+CACHE_CONF = "spark.quillspark.tokenCache"
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 
 
@@ -97,6 +103,12 @@ def tokenizer_version(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
+def _stored(spark: SparkSession, cache: str, version: str) -> DataFrame:
+    """The stored counts, one row a digest: runs that missed the same digest at the same time have both appended it."""
+    rows = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == version)
+    return rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+
+
 def token_counts(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_tokens, over_limit. cache: the cache table's folder."""
     spark, version = docs.sparkSession, tokenizer_version(tokenizer)
@@ -105,7 +117,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
     small = materialize(texts.select("doc_id", "digest", F.octet_length("body").cast("long").alias("n_bytes")), "count-keys")
 
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache)
-    stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == version)
+    stored = _stored(spark, cache, version)
     # The owner of a missing digest is the one row that is encoded for it.
     owners = small.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(stored, "digest", "left_anti")
     owners = materialize(owners, "count-owners")
@@ -125,6 +137,6 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
         counted = todo.select("digest", "body").mapInPandas(run, CACHE_SCHEMA)
         counted = counted.join(owners.select("digest"), "digest", "left_semi")
         counted.groupBy("digest", "version").agg(F.max("n_tokens").alias("n_tokens")).write.mode("append").parquet(cache)
-        stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == version)
+        stored = _stored(spark, cache, version)
     discard(owners)
-    return small.join(stored.select("digest", "n_tokens"), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return small.join(stored, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

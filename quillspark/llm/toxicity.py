@@ -2,7 +2,9 @@
 
 Confirmed toxic texts are the positives; all other sampled texts, whatever their label, are unlabelled. Numpy
 logistic classifiers over word presence minimise the class-prior-corrected risk, whose negative part is kept
-from going below zero; models of several folds are averaged, and calibrated on the rows that each has not seen. Only labels of rows with crc32(id as text) mod 5
+from going below zero; the weights of several folds' models are averaged. The threshold, which becomes the score 0.5, is set
+without negatives too: on the rows that each fold's model has not seen, the one with the largest square of the positives' share
+above it by the share of all rows above it. Only labels of rows with crc32(id as text) mod 5
 other than 0 are learnt from, and only they give the class prior.
 
 Bounds: the classifiers are fitted on at most MAX_POSITIVE positives and MAX_UNLABELLED unlabelled rows, the
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import least_hashed, materialize
 
 MAX_POSITIVE, MAX_UNLABELLED, VOCABULARY = 4000, 8000, 1024
 LEAST_ROWS, FOLDS, EPOCHS, BATCH, RATE, DECAY = 4, 4, 40, 512, 0.02, 1e-4
@@ -74,18 +76,18 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], np.ndarra
         return {}, np.zeros((1, 1))
     prior = min(0.9, n_toxic / n_known)
     toxic = known.where("toxic = 1").select("doc_id")
-    spread = [F.xxhash64("doc_id"), F.col("doc_id")]
-    first = toxic.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(*spread).limit(MAX_POSITIVE).withColumn("positive", F.lit(1))
-    rest = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
-    rest = rest.orderBy(*spread).limit(MAX_UNLABELLED).withColumn("positive", F.lit(0))
-    chosen = first.unionByName(rest).join(known, "doc_id", "left").select("doc_id", "positive", F.coalesce("toxic", F.lit(-1)).alias("known"))
-    chosen = materialize(chosen, "toxic-chosen")  # bounded, so it may be broadcast
+    first = least_hashed(toxic.join(docs.select("doc_id"), "doc_id", "left_semi"), "doc_id", MAX_POSITIVE, n_toxic).withColumn("positive", F.lit(1))
+    rest = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    # repeated identifiers: the bound on the hash is the looser, by the number of distinct ones
+    of = docs.agg(F.approx_count_distinct("doc_id")).first()[0] // 2
+    rest = least_hashed(rest.distinct(), "doc_id", MAX_UNLABELLED, of).withColumn("positive", F.lit(0))
+    chosen = materialize(first.unionByName(rest), "toxic-chosen")  # bounded, so it may be broadcast
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype(str), "positive": batch["positive"], "known": batch["known"], "words": [list(set(_WORD.findall((t or "").lower()))) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype(str), "positive": batch["positive"], "words": [list(set(_WORD.findall((t or "").lower()))) for t in batch["text"]]})
 
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "positive", "known", "text").mapInPandas(words, "doc_id string, positive int, known int, words array<string>")
+    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "positive", "text").mapInPandas(words, "doc_id string, positive int, words array<string>")
     sample = materialize(sample, "toxic-sample")
     n_pos, n_all = sample.agg(F.sum("positive"), F.count(F.lit(1))).first()
     if not n_pos or n_pos == n_all:
@@ -98,12 +100,12 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], np.ndarra
     if not vocabulary:
         return {}, np.zeros((1, 1))
 
-    held = sample.select("doc_id", "positive", "known", F.array_intersect("words", F.lit(top)).alias("words")).collect()  # both bounds apply
+    held = sample.select("doc_id", "positive", F.array_intersect("words", F.lit(top)).alias("words")).collect()  # both bounds apply
     held.sort(key=lambda r: (r["doc_id"], r["positive"]))
     x = np.zeros((len(held), len(top)), np.float32)
     for i, row in enumerate(held):
         x[i, [vocabulary[w] for w in row["words"]]] = 1
-    own, said = np.array([r["positive"] for r in held]) == 1, np.array([r["known"] for r in held])
+    own = np.array([r["positive"] for r in held]) == 1
     fold = np.array([crc32(r["doc_id"].encode()) for r in held]) // 5 % FOLDS
     models, z = [], np.full(len(held), np.nan)
     for k in range(FOLDS):
@@ -114,26 +116,25 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], np.ndarra
     if not models:
         return {}, np.zeros((1, 1))
     weights = np.mean(models, axis=0)
-    # calibrated on what each model has not seen: rows whose label may be learnt from
-    use = ~np.isnan(z) & (said >= 0) & (own | (said == 0))
-    weights = _calibrated(z[use], said[use] == 1) @ np.stack([weights, np.eye(len(weights))[-1]])
+    seen = ~np.isnan(z)
+    weights[-1] -= threshold(z[seen & own], z[seen & ~own])
     return vocabulary, weights[None, :]
 
 
-def _calibrated(z: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Slope and offset of the log odds, by a few ridged Newton steps; (1, 0) where a class is missing."""
-    w, pull = np.array([1.0, 0.0]), np.array([1.0, 0.0])
-    if 0 < y.sum() < len(y):
-        f = np.stack([z, np.ones(len(z))], axis=1)
-        for _ in range(50):
-            p = _sigmoid(f @ w)
-            step = np.linalg.solve((f * (p * (1 - p) + 1e-9)[:, None]).T @ f + np.eye(2), f.T @ (y - p) - (w - pull))
-            w = w + step * min(1.0, 1 / (np.abs(step).max() + 1e-12))
-    return w if w[0] > 0 else pull
+def threshold(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Where recall ** 2 / (share of all rows above) is largest: as high as precision times recall is, whatever the class prior."""
+    if not len(positive) or not len(unlabelled):
+        return 0.0
+    every = np.unique(np.concatenate([positive, unlabelled]))
+    middle = (every[1:] + every[:-1]) / 2
+    recall = 1 - np.searchsorted(np.sort(positive), middle, "right") / len(positive)
+    above = 1 - np.searchsorted(np.sort(unlabelled), middle, "right") / len(unlabelled)
+    gain = recall**2 / np.maximum(above, 1 / len(unlabelled))
+    return float(middle[gain.argmax()]) if len(middle) else 0.0
 
 
 def score(text: Column, vocabulary: dict[str, int], weights: np.ndarray) -> Column:
-    """The ensemble's mean probability for each whole text."""
+    """The probability that the averaged weights give to each whole text."""
     if not vocabulary:
         return F.lit(0.0)
     keys = frozenset(vocabulary)

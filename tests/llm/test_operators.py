@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, buckets, decontam, exact_dedup, html_main, ngram_join, packing, pii, quality, queries, token_cache, toxicity
 from quillspark.llm.queries import tokenizer_path
-from quillspark.llm.runtime import bit_filter, drop_rows, filter_hits
+from quillspark.llm.runtime import bit_filter, drop_rows, filter_hits, least_hashed, spread
 
 LONG = "word " * 20_000
 ODD = [None, "", " ", "\n\t", "a", "Plain text, it's here.", "Ünï çödé 日本 😀", "<|endoftext|> x", LONG, "x" * 3000, "A a\x1c b　c", "  two  spaces  ", "▁ mark"]
@@ -132,6 +132,29 @@ def test_dedup(spark):
     assert {r["keep_id"] for r in exact_dedup.deduplicate(docs(spark, ["x", "x"]), keep="smallest").collect()} == {0}
 
 
+def test_dedup_index_of_many_runs(spark, tmp_path):
+    rows = docs(spark, [f"t{k % 50}" for k in range(400)]).repartition(4)
+    for part in rows.randomSplit([1.0, 1.0], 3):  # two flushes
+        exact_dedup.flush(exact_dedup.entries(part), str(tmp_path / "l0"))
+    assert len(list((tmp_path / "l0").glob("part-*"))) >= 4
+    index = exact_dedup.compact(spark, str(tmp_path / "l0"), str(tmp_path / "l1"))
+    digest = hashlib.sha256(b"t7").digest()
+    assert [(r["least_id"], r["most_id"], r["n"]) for r in exact_dedup.lookup(index, [digest]).collect()] == [(7, 357, 8)]
+    assert index.count() == 50
+
+
+def test_dedup_verifies_bytes_and_null_identifiers(spark, monkeypatch):
+    # a digest that takes texts of equal length for equal
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.md5(F.length(c).cast("string")))
+    got = exact_dedup.deduplicate(docs(spark, ["aa", "bb", "AA", "c", "bb"])).collect()
+    monkeypatch.undo()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in got) == [(0, 2, 2), (1, 4, 2), (2, 2, 2), (3, 3, 1), (4, 4, 2)]
+    odd = docs(spark, ["x", "x", "y"]).withColumn("doc_id", F.expr("if(doc_id = 1, 1, null)").cast("long"))
+    got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.deduplicate(odd).collect()), key=str)
+    assert got == [(1, 1, 2, True), (None, 1, 2, False), (None, None, 1, True)]
+    assert {r["group_size"] for r in exact_dedup.deduplicate(docs(spark, [LONG * 10, LONG.upper() * 10])).collect()} == {2}
+
+
 def test_token_counts_and_cache(spark, tmp_path):
     import sentencepiece
 
@@ -156,6 +179,23 @@ def test_token_cache_stores_a_digest_once(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(cache).count() == 3
 
 
+def test_token_cache_of_concurrent_runs_and_null_identifiers(spark, tmp_path, monkeypatch):
+    path, cache = tokenizer_path("piece_bpe_32k.model"), str(tmp_path / "cache")
+    token_cache.token_counts(docs(spark, ["a", "b b"]), path, cache).count()
+    spark.read.parquet(cache).write.mode("append").parquet(cache)  # another run has appended the same
+    nameless = docs(spark, ["a", "c c"]).withColumn("doc_id", F.lit(None).cast("long"))
+    got = token_cache.token_counts(docs(spark, ["a", "b b"]).union(nameless).union(nameless), path, cache).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == [("0", 1), ("1", 2), ("None", 1), ("None", 1), ("None", 2), ("None", 2)]
+    size = spark.read.parquet(cache).count()
+    docs(spark, ["a", "c c"]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set(token_cache.CACHE_CONF, cache)
+    try:
+        assert sorted(r["n_tokens"] for r in queries.op8_token_counts(spark, str(tmp_path)).collect()) == [1, 2]
+    finally:
+        spark.conf.unset(token_cache.CACHE_CONF)
+    assert spark.read.parquet(cache).count() == size  # all came from the cache
+
+
 def brute_components(texts):
     sets = {}
     for i, t in enumerate(texts):
@@ -233,24 +273,31 @@ def test_decontamination(spark, limit):
     for k, item in enumerate(items[:7]):
         own = item.split()
         texts += [f"x {item.upper()} y, {item}", " ".join(own[: max(1, len(own) - 1)]), " ".join(word() for _ in range(80))]
-    rows = spark.createDataFrame([*enumerate(items), (None, "v1")], "item_id long, text string")
+    texts.append(nameless := "null item words that are hit but not named by anybody")
+    rows = spark.createDataFrame([*enumerate(items), (None, nameless)], "item_id long, text string")
     got = {r["doc_id"]: r for r in decontam.decontaminate(docs(spark, texts), rows, broadcast_bytes=limit).collect()}
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(t))
     for i, t in enumerate(texts):
         own, hit, names = split(t), set(), set()
-        for k, item in enumerate(items):
+        for k, item in [*enumerate(items), (None, nameless)]:
             w = split(item)
             for j in range(max(1, len(w) - 9) if w else 0):
                 window = w[j : j + 10]
                 for at in range(len(own) - len(window) + 1):
                     if own[at : at + len(window)] == window:
                         hit.update(range(at, at + len(window)))
-                        names.add(str(k))
+                        names.update({str(k)} - {"None"})
         assert (got[i]["n_words"], got[i]["n_hit"], got[i]["item_ids"]) == (len(own), len(hit), sorted(names)), t
     assert len(got) == len(texts)
     none = decontam.decontaminate(docs(spark, ["a", "a"]).union(docs(spark, ["a"])), rows.limit(0), broadcast_bytes=limit)
     assert sorted((r["doc_id"], r["n_words"], r["contaminated"]) for r in none.collect()) == [(0, 1, False), (0, 1, False), (1, 1, False)]
     assert decontam.decontaminate(empty(spark), rows, broadcast_bytes=limit).count() == 0
+    # a text that repeats one word, a long one that is all benchmark, and repeated rows without an identifier
+    whole = " ".join(f"b{k}" for k in range(30_000))
+    rows = spark.createDataFrame([(1, "word " * 30), (2, whole)], "item_id long, text string")
+    long = docs(spark, ["word " * 20_000, whole, "word " * 9]).union(docs(spark, ["word " * 10] * 2).withColumn("doc_id", F.lit(None).cast("long")))
+    got = decontam.decontaminate(long, rows, broadcast_bytes=limit).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"]) for r in got), key=str) == [(0, 20_000, 20_000, ["1"]), (1, 30_000, 30_000, ["2"]), (2, 9, 0, []), (None, 10, 10, ["1"]), (None, 10, 10, ["1"])]
 
 
 PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
@@ -268,7 +315,7 @@ def valid(kind, m):
 
 
 def test_personal_data(spark):
-    texts = [None, "", "a@b.c_d@e.f@g.h.i, x@y", "😀 mail me: jo.e+1@ex-a.co.uk!", "1.2.3.4 1.2.3.4.5.6.7.8 256.1.1.1 0001.02.3.255", "4111 1111 1111 1111 and 4111-1111-1111-1112", "+1 (523) 555-1055, +12 3", "9" * 20_000, "a" * 20_000 + "@b.cc", "card 4111111111111111", "call 523-555-1055 now", "jo (at) ex (dot) com"]
+    texts = [None, "", "a@b.c_d@e.f@g.h.i, x@y", "😀 mail me: jo.e+1@ex-a.co.uk!", "1.2.3.4 1.2.3.4.5.6.7.8 256.1.1.1 0001.02.3.255", "4111 1111 1111 1111 and 4111-1111-1111-1112", "+1 (523) 555-1055, +12 3", "9" * 20_000, "a" * 20_000 + "@b.cc", "card 4111111111111111", "call 523-555-1055 now", "jo (at) ex (dot) com", "jo (at) ex" + ".a" * 30_000, "x@y" + ".a" * 30_000, "+1" + " 2" * 30_000, "1.2.3.4 " * 3000]
     rng = random.Random(5)
     texts += ["".join(rng.choice("a1.@+- ()é4") for _ in range(60)) for _ in range(200)]
     got = {r["doc_id"]: r for r in pii.personal_data(docs(spark, texts)).select("doc_id", pii.listed("base").alias("base"), pii.listed("spans").alias("spans")).collect()}
@@ -277,7 +324,10 @@ def test_personal_data(spark):
         want = ",".join(f"{PATTERNS[k][0]}:{a}:{b}" for a, k, b in found)
         assert got[i]["base"] == want, t
         assert set(want.split(",")) - {""} <= set(got[i]["spans"].split(","))
+    assert got[11]["spans"] == "email:0:20" and got[12]["spans"] == f"email:0:{10 + 60_000}"
     assert pii.personal_data(empty(spark)).count() == 0
+    odd = docs(spark, ["a@b.c", "a@b.c"]).withColumn("doc_id", F.lit(None).cast("long"))
+    assert [r["spans"] for r in pii.personal_data(odd).select(pii.listed("spans").alias("spans")).collect()] == ["email:0:5"] * 2
 
 
 def test_html(spark):
@@ -364,6 +414,8 @@ def test_toxicity_on_held_out_rows(spark):
     rows, labels = labelled(spark)
     got = toxicity.toxicity(rows, labels).join(labels, "doc_id").where("held_out").collect()
     assert got and np.mean([r["predicted"] == r["toxic"] for r in got]) > 0.95
+    relabelled = toxicity.toxicity(rows, labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1).otherwise(F.col("toxic"))))
+    assert sorted(map(tuple, relabelled.collect())) == sorted(map(tuple, toxicity.toxicity(rows, labels).collect()))  # held-out labels change nothing
     odd = docs(spark, ODD)
     assert toxicity.toxicity(odd, labels.limit(0)).agg(F.max("score")).first()[0] == 0
     assert toxicity.toxicity(empty(spark), labels).count() == 0
@@ -375,12 +427,30 @@ def test_quality(spark):
     some = labels.where("doc_id < 400")
     got = quality.quality(rows, some).join(labels.select("doc_id", "quality"), "doc_id").where("doc_id >= 400").collect()
     assert np.mean([r["quality_kept"] == (r["quality"] == 1) for r in got]) > 0.95
+    same = quality.quality(rows.withColumn("quality_kept", F.lit("old")), some)
+    assert same.count() == 600 and same.schema["quality_kept"].dataType.simpleString() == "boolean"
     odd = docs(spark, ODD).withColumn("lang", F.lit(None).cast("string")).withColumn("n_chars", F.lit(None).cast("long"))
     assert quality.quality(odd, some).count() == len(ODD)
     assert quality.quality(odd, some.limit(0)).where("not quality_kept").count() == 0
     assert quality.quality(empty(spark), some).count() == 0
 
 
+def test_threshold_needs_no_negatives():
+    rng = np.random.default_rng(8)
+    positive = rng.normal(4, 1, 300)
+    unlabelled = np.concatenate([rng.normal(-4, 1, 950), rng.normal(4, 1, 50)])
+    t = toxicity.threshold(positive, unlabelled)
+    assert (positive > t).mean() > 0.97 and (unlabelled[:950] > t).mean() < 0.01
+    assert toxicity.threshold(positive[:0], unlabelled) == 0
+
+
+def test_rows_of_least_hash(spark):
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    want = [r["k"] for r in df.orderBy(spread(F.col("k")), "k").limit(50).collect()]
+    assert [r["k"] for r in least_hashed(df, "k", 50, 5000).collect()] == want
+    assert least_hashed(df, "k", 50, 0).count() == 50 and least_hashed(df.limit(9), "k", 50, 9).count() == 9
+
+
 def test_bit_filter_and_row_drop(spark):
     rows = spark.range(2000).withColumnRenamed("id", "k")
     own = rows.where("k % 7 = 0")

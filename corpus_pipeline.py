@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import bpe, decontam, exact_dedup, ngram_join, quality
 from quillspark.llm._ship import ship
 from quillspark.llm.queries import table, tokenizer_path
-from quillspark.llm.runtime import drop_rows, fold_ascii, keep_one, materialize
+from quillspark.llm.runtime import discard, drop_rows, fold_ascii, keep_one, materialize
 
 ORACLE_SQL = None
 
@@ -28,13 +28,15 @@ def row_key() -> Column:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality classifier rejects."""
+    """Without the documents that the quality classifier rejects; each row by its own text, so copies stay or go together."""
     ship(spark)
-    return quality.quality(docs, table(spark, sf_dir, "labels")).where("quality_kept").select(*docs.columns)
+    models = quality.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    good = quality.score(models, F.col("text"), F.col("lang"), F.col("source"), F.col("n_chars").cast("double")) >= quality.KEEP_FROM
+    return docs.where(good)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts only the document with the largest identifier, once."""
+    """Of equal texts (A-Z folded) only the document with the largest identifier, once; a null identifier is the smallest."""
     found = materialize(exact_dedup.deduplicate(docs).where("group_size > 1").select("doc_id", "text_sha256", "kept"), "pipeline-copies")
     key = {"doc_id": F.col("doc_id"), "text_sha256": F.sha2(fold_ascii(F.col("text")), 256)}
     repeated = found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -42,20 +44,20 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least identifier."""
+    """One document of each component of near copies: the one with the least identifier, a null one first; texts without words all stay."""
     ship(spark)
     gone = ngram_join.near_duplicates(docs.select(row_key().alias("doc_id"), "text")).where("doc_id <> component_id").select("doc_id")
     return drop_rows(docs, materialize(gone, "pipeline-near"), {"doc_id": row_key()}).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a benchmark passage."""
+    """Without the documents that hold a window of a benchmark item; a null or empty text holds none and stays."""
     found = decontam.decontaminate(docs.select(row_key().alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
     return drop_rows(docs, materialize(found, "pipeline-leaks"), {"doc_id": row_key()}).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each kept document's token ids."""
+    """Each kept document's token ids: doc_id, lang, source, n_tokens, ids; a null text has none."""
     ship(spark)
     return bpe.encode(docs, tokenizer_path("byte_bpe_50k.json"), keep=("doc_id", "lang", "source")).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
@@ -73,7 +75,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again as the next one's documents."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        kept = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialize(docs, "pipeline-stage")
+            kept = materialize(kept, "pipeline-stage")
+            discard(docs)
+        docs = kept
     return docs

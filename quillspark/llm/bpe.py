@@ -16,15 +16,17 @@ import json
 import re
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens kept in a worker's table; beyond that it is emptied.
+#: Pieces of text kept in each of a worker's two tables; beyond that it is emptied.
 TABLE_SIZE = 400_000
 #: The white space of Unicode, and the contractions that byte-level pre-tokenizers split off.
 SPACES = "\t-\r \x85\xa0                　"
@@ -61,6 +63,15 @@ def pre_tokens(text: str) -> list[str]:
 
 #: A space with white space beside it; a last one has none after it, as in a longer text.
 _BESIDE = re.compile(f" [{SPACES}]|[{SPACES}] ")
+_RARE = re.compile(f"[{SPACES.replace(' ', '').replace(chr(9) + '-', chr(9) + chr(11) + '-')}]")
+
+
+def _apart(text: str) -> bool:
+    """Whether no space has white space beside it."""
+    if "  " in text or " \n" in text or "\n " in text:
+        return False
+    rare = any(c in text for c in "\t\x0b\x0c\r") if text.isascii() else _RARE.search(text)
+    return not rare or not _BESIDE.search(text)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -70,6 +81,17 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Where array's int is not the little-endian int32 that is written.
+_BIG = sys.byteorder != "little" or array("i").itemsize != 4
+
+
+def _keep(table: dict[str, bytes], key: str, ids: bytes) -> None:
+    if len(table) >= TABLE_SIZE:
+        table.clear()
+    if len(key) <= 64:
+        table[key] = ids
+
+
 class ByteBpe:
     """The tables of one tokenizer file, and encoding and decoding by them."""
 
@@ -99,6 +121,7 @@ class ByteBpe:
         for token, i in self.added.items():
             self.tokens[i] = token.encode()
         self.table: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.compiled = self._compiled(vocab)
 
     @staticmethod
@@ -119,17 +142,17 @@ class ByteBpe:
         new = [i for _, i in sorted(self.merges.values())]
         if any(a >= b for a, b in zip(new, new[1:])) or max(self.single) >= new[0] or len(new) + 256 != len(vocab):
             return None
-        return tiktoken.Encoding("fragments", pat_str="(?s).+", mergeable_ranks=vocab, special_tokens={})._encode_single_piece
+        encoding = tiktoken.Encoding("fragments", pat_str="(?s).+", mergeable_ranks=vocab, special_tokens={})
+        core = getattr(encoding, "_core_bpe", None)
+        return core.encode_single_piece if hasattr(core, "encode_single_piece") else encoding._encode_single_piece
 
     def fragments(self, word: bytes) -> list[bytes]:
         """word, cut wherever two neighbouring bytes stand together in no token."""
-        rows, start, out = self.joined_rows, 0, []
-        for i in range(1, len(word)):
-            if not rows[word[i - 1]][word[i]]:
-                out.append(word[start:i])
-                start = i
-        out.append(word[start:])
-        return out
+        rows = self.joined_rows
+        if all([rows[a][b] for a, b in pairwise(word)]):
+            return [word]
+        cuts = [i for i, (a, b) in enumerate(pairwise(word), 1) if not rows[a][b]]
+        return [word[a:b] for a, b in pairwise([0, *cuts, len(word)])]
 
     def merge(self, fragment: bytes) -> list[int]:
         """The ids of one fragment: the pair of lowest rank is merged first, from the left."""
@@ -178,18 +201,25 @@ class ByteBpe:
 
     def word(self, word: str) -> bytes:
         """The ids of one pre-token, as little-endian int32."""
+        got = self.words.get(word)
+        if got is None:
+            got = self._ids(word.encode("utf-8", "surrogatepass"))
+            _keep(self.words, word, got)
+        return got
+
+    def _ids(self, word: bytes) -> bytes:
         out: list[int] = []
-        for fragment in self.fragments(word.encode("utf-8", "surrogatepass")):
+        for fragment in self.fragments(word):
             out += self.merge(fragment)
-        return np.array(out, "<i4").tobytes()
+        return np.array(out, "<i4").tobytes() if _BIG else array("i", out).tobytes()
 
     def spaced(self, rest: str) -> bytes:
         """The ids of a space and the text up to the next one."""
-        got = b"".join(map(self.word, pre_tokens(" " + rest)))
-        if len(self.table) >= TABLE_SIZE:
-            self.table.clear()
-        if len(rest) <= 64:
-            self.table[rest] = got
+        if rest.isalpha():  # letters alone, so one pre-token
+            got = self._ids((" " + rest).encode("utf-8", "surrogatepass"))
+        else:
+            got = b"".join(map(self.word, pre_tokens(" " + rest)))
+        _keep(self.table, rest, got)
         return got
 
     def _encoded(self, text: str) -> bytes:
@@ -197,7 +227,7 @@ class ByteBpe:
         stands between two such spaces is encoded alone, and remembered."""
         if not text:
             return b""
-        if _BESIDE.search(text):
+        if not _apart(text):
             return b"".join(map(self.word, pre_tokens(text)))
         get, spaced = self.table.get, self.spaced
         first, *rest = text.split(" ")

@@ -26,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import tidied
+
 #: Pieces of text kept in each of a worker's two tables; beyond that it is emptied.
-TABLE_SIZE = 400_000
+TABLE_SIZE = 300_000
 #: The white space of Unicode, and the contractions that byte-level pre-tokenizers split off.
 SPACES = "\t-\r \x85\xa0                　"
 CONTRACTIONS = "'(?:s|t|re|ve|m|ll|d)"
@@ -274,7 +276,7 @@ def encode(df: DataFrame, tokenizer: str, text_col: str = "text", keep: tuple[st
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], _lists(_ids(bpe, part.column(len(keep))))], [*keep, "ids"])
 
     source = df.select(*keep, F.col(text_col).alias("__quill_text"))
-    return source.mapInArrow(run, f"{fields}, ids array<int>")
+    return source.mapInArrow(tidied(run), f"{fields}, ids array<int>")
 
 
 def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
@@ -289,7 +291,7 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", keep: tuple[str,
                 texts = [bpe.decode(ids) if ids else "" for ids in part.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string())], [*keep, "decoded"])
 
-    return df.select(*keep, F.col(ids_col).alias("__quill_ids")).mapInArrow(run, f"{fields}, decoded string")
+    return df.select(*keep, F.col(ids_col).alias("__quill_ids")).mapInArrow(tidied(run), f"{fields}, decoded string")
 
 
 def round_trip(df: DataFrame, tokenizer: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -305,4 +307,4 @@ def round_trip(df: DataFrame, tokenizer: str, text_col: str = "text", keep: tupl
                 texts = pa.array([bpe.decode(ids.tolist()) for ids in lists], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], _lists(lists), texts], [*keep, "ids", "decoded"])
 
-    return df.select(*keep, F.col(text_col).alias("__quill_text")).mapInArrow(run, f"{fields}, ids array<int>, decoded string")
+    return df.select(*keep, F.col(text_col).alias("__quill_text")).mapInArrow(tidied(run), f"{fields}, ids array<int>, decoded string")

@@ -16,7 +16,7 @@ import pyarrow as pa
 #: Hashes in a bucket on average, and the least number of buckets.
 BUCKET, BUCKETS = 1 << 23, 64
 #: Hashes that a task gathers before it ships them.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 SCHEMA = "bucket int, known boolean, keys binary, refs binary, times binary"
 _WIDE = np.uint64((1 << 40) - 1)
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import buckets
 from .ngram_join import _mix
-from .runtime import bit_filter, filter_hits, materialize
+from .runtime import bit_filter, filter_hits, materialize, tidied
 
 RUN, PAGES, SAMPLE = 8, 3, 5
 #: Tokens kept in a worker's table of hashes; beyond that it is emptied.
@@ -248,7 +248,7 @@ def _covers(rows: DataFrame) -> DataFrame:
         names, first = np.unique(refs, return_index=True)
         return pd.DataFrame({"content": names, "keys": [k.astype("<u8").tobytes() for k in np.split(keys, first[1:])] if len(names) else []})
 
-    found = rows.select("host", "html").mapInArrow(ship_out, buckets.SCHEMA).groupBy("bucket").applyInPandas(find, "content long, keys binary")
+    found = rows.select("host", "html").mapInArrow(tidied(ship_out), buckets.SCHEMA).groupBy("bucket").applyInPandas(find, "content long, keys binary")
     return materialize(found.groupBy("content").agg(F.collect_list("keys").alias("keys"), F.lit(parts).alias("parts")), "html-covers")
 
 
@@ -296,7 +296,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     held = pa.array([[{"place": place, "text": text} for place, text in own] for own in found], block) if whole else pa.array([main_text(own, None) for own in found], pa.string())
                     yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), part.column(0), pa.array(names, pa.int64()), held], ["page_id", "url", "host", "content", "held"])
 
-        return rows.mapInArrow(run, f"page_id {kind}, url string, host string, content long, held {'array<struct<place:int,text:string>>' if whole else 'string'}")
+        return rows.mapInArrow(tidied(run), f"page_id {kind}, url string, host string, content long, held {'array<struct<place:int,text:string>>' if whole else 'string'}")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -314,5 +314,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     bits = bit_filter(covers, "content")
     sure = filter_hits(parse(False), bits, [F.col("content")], "hit").where("not hit").select("page_id", "url", F.col("held").alias("text"))
     maybe = filter_hits(parse(True), bits, [F.col("content")], "hit").where("hit").join(covers, "content", "left")
-    done = maybe.select("page_id", "url", "host", "held", "keys", "parts").mapInArrow(finish, f"page_id {kind}, url string, text string")
+    done = maybe.select("page_id", "url", "host", "held", "keys", "parts").mapInArrow(tidied(finish), f"page_id {kind}, url string, text string")
     return sure.unionByName(done).withColumn("n_chars", F.length("text").cast("long"))

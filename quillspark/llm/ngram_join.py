@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import buckets
-from .runtime import bit_filter, discard, filter_hits, materialize
+from .runtime import bit_filter, discard, filter_hits, materialize, tidied
 
 #: 64-bit words of a node's bit set.
 LANES = 16
@@ -133,7 +133,7 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
                 [part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(nodes, pa.binary()), pa.array(map(_ref, nodes), pa.int64()), *[pa.array(bits[:, k]) for k in range(LANES)]], ["doc_id", "n", "node", "ref", *lanes]
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def _survivors(docs: DataFrame, nodes: DataFrame, total: int, n: int, percent: int) -> DataFrame:
@@ -162,7 +162,7 @@ def _survivors(docs: DataFrame, nodes: DataFrame, total: int, n: int, percent: i
         ref, k = np.unique(refs, return_counts=True)
         return pd.DataFrame({"ref": ref, "k": k})
 
-    shipped = docs.mapInArrow(ship_out, buckets.SCHEMA)
+    shipped = docs.mapInArrow(tidied(ship_out), buckets.SCHEMA)
     told = shipped.groupBy("bucket").applyInPandas(count, "ref long, k long").groupBy("ref").agg(F.sum("k").alias("k"))
     least = F.expr(f"1 + ceil({percent} * n / 100) div {SPARE}")
     return nodes.join(told, "ref").where(F.col("k") >= least).select("node", "ref", "owner", "n")
@@ -179,7 +179,7 @@ def _sets(docs: DataFrame, survivors: DataFrame, n: int) -> DataFrame:
                 nodes = [_node(s) for s in found]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["node", "tokens"])
 
-    found = texts.mapInArrow(run, "node binary, tokens array<long>").join(survivors.select("node", "ref", "n"), "node")
+    found = texts.mapInArrow(tidied(run), "node binary, tokens array<long>").join(survivors.select("node", "ref", "n"), "node")
     return found.dropDuplicates(["node"]).select("node", "ref", "n", "tokens")
 
 
@@ -240,7 +240,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     side = lambda name, tokens: sets.select(F.col("node").alias(name), F.col("tokens").alias(tokens))
     full = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
-    return materialize(full.mapInArrow(similar, "a binary, b binary"), "join-links")
+    return materialize(full.mapInArrow(tidied(similar), "a binary, b binary"), "join-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -296,6 +296,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if round_ < ROUNDS:
             rank = F.col("own") if round_ == 0 else F.lit(0)
             pivots = held.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), F.xxhash64("ref", F.lit(round_)).alias("h"), "ref", "comp", "n", "rest")).alias("p"))
+            pivots = materialize(pivots, "join-pivots")  # so that Spark may split a hot hash of the join
             met = held.join(pivots, "token").where("comp <> p.comp").where(_fits("n", "rest", "p.n", "p.rest", percent))
             met = met.groupBy("ref").agg(F.min("p").alias("p")).select("ref", F.col("p.ref").alias("other"))
         else:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
+from .runtime import tidied
 
 GROUP_TOKENS = 1_000_000
 
@@ -132,7 +133,7 @@ def pack(df: DataFrame, length: int = 2048, id_col: str = "doc_id", ids_col: str
             positions = pa.array([np.concatenate([np.arange(len(x), dtype=np.int32) for _, _, x in row]) for _, row in packed], ints)
             yield pa.RecordBatch.from_arrays([*_segments(packed, types[0]), ids, positions], ["pack_id", "cu_seqlens", "doc_ids", "offsets", "ids", "positions"])
 
-    packed = df.select(F.col(id_col), F.col(ids_col).cast("array<int>")).mapInArrow(run, schema)
+    packed = df.select(F.col(id_col), F.col(ids_col).cast("array<int>")).mapInArrow(tidied(run), schema)
     return packed.select("pack_id", "ids", "cu_seqlens", "positions", "doc_ids", "offsets")
 
 
@@ -166,7 +167,7 @@ def matrix(df: DataFrame, tokenizer: str, length: int = 2048, end: str | None =
             resets = pa.array([c[:-1] if c[-1] == length else c for c in (x.values.to_numpy() for x in segments[1])], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*segments, pa.array([x.tobytes() for x in out], pa.binary()), resets], ["pack_id", "cu_seqlens", "doc_ids", "offsets", "matrix_row", "position_resets"])
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(tidied(run), schema)
 
 
 def write_matrix(packed: DataFrame, folder: str) -> None:

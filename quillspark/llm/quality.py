@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import least_hashed, materialize
+from .runtime import least_hashed, materialize, release
 
 MAX_LABELLED, MAX_UNLABELLED = 10_000, 10_000
 ROUNDS, TAUGHT, SURE = 5, 400, 0.9
@@ -165,6 +165,7 @@ def score(models: tuple[list[Logistic], Logistic] | None, text: Column, lang: Co
             a, b = views(text_, lang_, source_, n_chars_)
             z = np.stack([_odds(first.predict(a)), _odds(second.predict(b))], axis=1) if len(a) else np.empty((0, 2))
             yield pd.Series(both.predict(z) if len(a) else np.empty(0))
+        release()
 
     return run(text, lang, source, n_chars)
 

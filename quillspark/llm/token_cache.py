@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import FILTER_BITS, bit_filter, discard, filter_hits, materialize
+from .runtime import FILTER_BITS, bit_filter, discard, filter_hits, materialize, tidied
 
 #: Segments kept in a worker's table; beyond that it is emptied.
 TABLE_SIZE = 400_000
@@ -134,7 +134,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
             for batch in batches:
                 yield pd.DataFrame({"digest": batch["digest"], "version": version, "n_tokens": [count(t) for t in batch["body"]]})
 
-        counted = todo.select("digest", "body").mapInPandas(run, CACHE_SCHEMA)
+        counted = todo.select("digest", "body").mapInPandas(tidied(run), CACHE_SCHEMA)
         counted = counted.join(owners.select("digest"), "digest", "left_semi")
         counted.groupBy("digest", "version").agg(F.max("n_tokens").alias("n_tokens")).write.mode("append").parquet(cache)
         stored = _stored(spark, cache, version)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import least_hashed, materialize
+from .runtime import least_hashed, materialize, release
 
 MAX_POSITIVE, MAX_UNLABELLED, VOCABULARY = 4000, 8000, 1024
 LEAST_ROWS, FOLDS, EPOCHS, BATCH, RATE, DECAY = 4, 4, 40, 512, 0.02, 1e-4
@@ -147,6 +147,7 @@ def score(text: Column, vocabulary: dict[str, int], weights: np.ndarray) -> Colu
                 at = sorted(vocabulary[w] for w in keys.intersection(_WORD.findall((t or "").lower())))
                 out[i] = _sigmoid(weights[:, at].sum(axis=1) + weights[:, -1]).mean()
             yield pd.Series(out)
+        release()
 
     return run(text)
 

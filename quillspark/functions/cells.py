@@ -70,3 +70,20 @@ def permission_mask(allowed: dict[str, Column]) -> Column:
 
 def has_permission(mask: Column, name: str) -> Column:
     return mask.bitwiseAND(F.lit(1 << PERMISSION_BITS[name])) != 0
+
+
+def rk_number(rk: Column) -> Column:
+    """The double of a 32-bit RK value: bit 1 says that the upper 30 bits are a signed number (else the upper bits of a double), bit 0 that it counts hundredths."""
+    whole = F.shiftright(rk.cast("int"), 2).cast("double")
+    bits = F.shiftleft((rk.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFC))), 32)
+    sign = F.when(bits < 0, -1.0).otherwise(1.0)
+    power = F.shiftrightunsigned(bits, 52).bitwiseAND(F.lit(2047))
+    part = bits.bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
+    double = F.when(power == 0, sign * part * F.pow(F.lit(2.0), F.lit(-1022.0))).otherwise(sign * (1 + part) * F.pow(F.lit(2.0), power - 1023))
+    value = F.when(rk.bitwiseAND(F.lit(2)) != 0, whole).otherwise(double)
+    return F.when(rk.bitwiseAND(F.lit(1)) != 0, value / 100).otherwise(value)
+
+
+def serial_date(serial_: Column) -> Column:
+    """The day of a serial number."""
+    return F.date_add(F.lit(EPOCH).cast("date"), F.floor(serial_).cast("int"))

@@ -17,12 +17,22 @@ SCRIPT_RANGES = {
 RTL = ("arabic", "hebrew")
 KANA = r"\x{3040}-\x{30FF}"
 # The named character references that are decoded, and what stands for them.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&")]
+ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "trade": "™", "mdash": "—", "ndash": "–",
+    "hellip": "…", "laquo": "«", "raquo": "»", "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç", "rsquo": "\u2019", "lsquo": "\u2018", "ldquo": "\u201c", "rdquo": "\u201d",
+}
+#: A reference that is decoded, or a stretch without one.
+REFERENCE = "&(?:#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,7}|" + "|".join(ENTITIES) + ");|[^&]+|&"
+# Marks of list items. Glyphs of the first kind need no space after them.
+GLYPHS, DASHES = "•‣◦▪·", "*–—-"
+ORDINAL = "(?:[0-9]+|[A-Za-z]|[ivxlcdm]{2,}|[IVXLCDM]{2,})[.)]"
+# Words that a caption begins with.
+CAPTION_CUES = ("figure", "fig.", "table", "tableau", "image", "illustration")
 
 
 def count_of(text: Column, ranges: str) -> Column:
     """How many characters of text lie in the ranges."""
-    return F.length(F.regexp_replace(text, f"[^{ranges}]", ""))
+    return F.length(F.regexp_replace(text, f"[^{ranges}]+", ""))
 
 
 def script_tallies(text: Column) -> dict[str, Column]:
@@ -30,9 +40,9 @@ def script_tallies(text: Column) -> dict[str, Column]:
 
 
 def dominant_script(tallies: dict[str, Column]) -> Column:
-    """The script counted most; the order of SCRIPT_RANGES breaks ties; "none" if nothing was counted."""
+    """The script counted most; the order of SCRIPT_RANGES breaks ties; "other" if nothing was counted."""
     top = F.greatest(*tallies.values())
-    out = F.lit("none")
+    out = F.lit("other")
     for name in reversed(tallies):
         out = F.when((top > 0) & (tallies[name] == top), name).otherwise(out)
     return out
@@ -63,19 +73,70 @@ def signature(text: Column) -> Column:
 
 
 def list_marker(text: Column) -> Column:
-    """bullet, decimal, roman, letter or none, for the marker that a line begins with."""
-    t = F.ltrim(text)
+    """bullet, decimal, roman, letter or none, for the marker that a line begins with.
+
+    A lone letter is a letter, i, v and x too; a Roman numeral has two digits or more.
+    """
+    t = F.regexp_replace(text, r"^\s+", "")
     return (
-        F.when(t.rlike(r"^[-*+•‣◦–] "), "bullet")
-        .when(t.rlike(r"^[0-9]{1,4}[.)] "), "decimal")
-        .when(t.rlike(r"^(?:[ivxlcdm]{2,}|[IVXLCDM]{2,}|[ivxIVX])[.)] "), "roman")
-        .when(t.rlike(r"^[A-Za-z][.)] "), "letter")
+        F.when(t.rlike(rf"^(?:[{GLYPHS}]|[{DASHES}]\s)"), "bullet")
+        .when(t.rlike(r"^[0-9]+[.)](?:\s|$)"), "decimal")
+        .when(t.rlike(r"^[A-Za-z][.)](?:\s|$)"), "letter")
+        .when(t.rlike(r"^(?:[ivxlcdm]{2,}|[IVXLCDM]{2,})[.)](?:\s|$)"), "roman")
         .otherwise("none")
     )
 
 
 def strip_marker(text: Column) -> Column:
-    return F.regexp_replace(F.ltrim(text), r"^(?:[-*+•‣◦–]|[0-9]{1,4}[.)]|[ivxlcdm]+[.)]|[IVXLCDM]+[.)]|[A-Za-z][.)]) +", "")
+    """A line without its leading white space, its marker and the white space after it."""
+    return F.regexp_replace(F.regexp_replace(text, r"^\s+", ""), rf"^(?:[{GLYPHS}]\s*|[{DASHES}]\s+|{ORDINAL}(?:\s+|$))", "")
+
+
+def roman_value(label: Column) -> Column:
+    """The number of a Roman numeral of either case: a digit before a larger one is taken away; null for anything else."""
+    one = F.create_map(*[F.lit(x) for pair in zip("ivxlcdm", (1, 5, 10, 50, 100, 500, 1000)) for x in pair])
+    digits = F.transform(F.split(F.lower(label), ""), lambda c: F.element_at(one, c))
+    after = F.concat(F.slice(digits, F.lit(2), F.size(digits)), F.array(F.lit(0)))
+    total = F.aggregate(F.zip_with(digits, after, lambda x, y: F.when(x < y, -x).otherwise(x)), F.lit(0), lambda a, x: a + x)
+    return F.when(label.rlike("^(?:[ivxlcdm]+|[IVXLCDM]+)$") & (total > 0), total)
+
+
+def ordinal(text: Column) -> Column:
+    """The number of an ordered list marker: digits, a letter's place, a Roman numeral; null without one."""
+    kind, label = list_marker(text), F.regexp_extract(text, r"^\s*([0-9A-Za-z]+)[.)]", 1)
+    return F.when(kind == "decimal", F.expr("try_cast(1 as bigint)") * label.try_cast("bigint")).when(kind == "letter", F.ascii(F.lower(label)) - 96).when(kind == "roman", roman_value(label))
+
+
+def is_caption(text: Column) -> Column:
+    """Whether a text opens with a caption's cue that no letter follows."""
+    cues = "|".join(c.replace(".", "[.]") for c in CAPTION_CUES)
+    return F.lower(text).rlike(rf"^\s*(?:{cues})(?:[^a-z]|$)")
+
+
+def capitalized(text: Column) -> Column:
+    """The first letter of each word in upper case, the others as they are."""
+    words = F.regexp_extract_all(text, F.lit(r"\s+|\S+"), F.lit(0))
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, F.lit(1), F.lit(1))), F.substring(w, F.lit(2), F.length(w)))), "")
+
+
+def page_label(style: Column, prefix: Column, number: Column) -> Column:
+    """A page label: a prefix and the number as D, R, r, A or a says; no style, no number."""
+    plain = F.when(style == "D", number.cast("string")).when(style == "R", roman(number)).when(style == "r", F.lower(roman(number)))
+    shown = plain.when(style == "A", F.upper(repeated_letters(number))).when(style == "a", repeated_letters(number))
+    return F.concat(prefix, F.coalesce(shown, F.lit("")))
+
+
+def color_hex(red: Column, green: Column, blue: Column) -> Column:
+    """#rrggbb of three parts from 0 to 1, clamped."""
+    part = lambda c: F.lpad(F.lower(F.hex(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)) * 255 + 0.5).cast("int"))), 2, "0")
+    return F.concat(F.lit("#"), part(red), part(green), part(blue))
+
+
+def hex_color(text: Column) -> Column:
+    """The parts, 0 to 255, of #rgb or #rrggbb; null for anything else."""
+    t = F.lower(F.trim(text))
+    wide = F.when(t.rlike("^#[0-9a-f]{6}$"), t).when(t.rlike("^#[0-9a-f]{3}$"), F.regexp_replace(t, "([0-9a-f])", "$1$1"))
+    return F.when(wide.isNotNull(), F.array(*[F.conv(F.substring(wide, k, 2), 16, 10).cast("int") for k in (2, 4, 6)]))
 
 
 def roman(n: Column) -> Column:
@@ -113,9 +174,21 @@ def escape_markdown(text: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    for entity, plain in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return text
+    """Named and numeric character references decoded, once; others stay as they are."""
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def one(piece: Column) -> Column:
+        name = F.substring(piece, F.lit(2), F.length(piece) - 2)
+        hexed = F.lower(F.substring(name, 1, 2)) == "#x"
+        digits = F.substring(name, F.when(hexed, 3).otherwise(2), F.length(name))
+        code = F.when(hexed, F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+        exists = (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        numeric = F.when(exists, char).otherwise(piece)
+        return F.when(~piece.rlike("^&.+;$"), piece).when(F.startswith(name, F.lit("#")), numeric).otherwise(F.element_at(names, name))
+
+    pieces = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, one), "")).otherwise(text)
 
 
 def csv_field(text: Column) -> Column:

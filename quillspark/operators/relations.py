@@ -1,4 +1,4 @@
-"""Joins and row edits that documents need: nearest, interval, overlap, as-of; insert, move, patch."""
+"""Joins and row edits that documents need: nearest, interval, overlap, as-of; insert, delete, move, patch; running furniture."""
 
 from __future__ import annotations
 
@@ -42,6 +42,11 @@ def insert_gap(index: Column, at: int) -> Column:
     return F.when(index >= at, index + 1).otherwise(index)
 
 
+def delete_gap(df: DataFrame, index: str, at: int) -> DataFrame:
+    """df without the rows or columns at `at`, those after it moved up."""
+    return df.where(F.col(index) != at).withColumn(index, F.when(F.col(index) > at, F.col(index) - 1).otherwise(F.col(index)))
+
+
 def last_wins(patches: DataFrame, keys: list[str], order: str, fields: list[str]) -> DataFrame:
     """For each key the last value that any patch names, field by field."""
     return patches.groupBy(*keys).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in fields])
@@ -60,3 +65,26 @@ def strip_furniture(blocks: DataFrame, section: str, page: str, sig: str) -> tup
     often = blocks.groupBy(section, sig).agg(F.countDistinct(page).alias("__n")).join(pages, section).where("2 * __n > __pages").select(section, sig)
     repeated = blocks.join(often, [section, sig], "left_semi").groupBy(section, sig).agg(F.countDistinct(page).alias("n_pages"))
     return repeated, blocks.join(often, [section, sig], "left_anti")
+
+
+#: The share of a page's height, at its top and at its bottom, in which running furniture stands; and the tolerance at its edges.
+BAND, SLACK = 0.12, 0.5
+
+
+def band(y: Column, height: Column, page_height: Column) -> Column:
+    """top or bottom if a block (y down, page top 0) lies wholly in that band of its page, else null."""
+    low = y + height
+    return F.when((y >= -SLACK) & (low <= BAND * page_height + SLACK), "top").when((y >= page_height - BAND * page_height - SLACK) & (low <= page_height + SLACK), "bottom")
+
+
+def running_furniture(blocks: DataFrame, section: str, page: str, order: str, text: str, sig: Column, edge: Column) -> tuple[DataFrame, DataFrame]:
+    """Headers and footers: what the bands of more than half the pages of a section hold, by signature, and the other blocks.
+
+    The first result has section, edge, signature, n_pages and the text of the first page's block. A section of one page has none.
+    """
+    held = blocks.withColumns({"edge": edge, "signature": F.when(F.trim(F.col(text)) != "", sig)})
+    pages = blocks.groupBy(section).agg(F.countDistinct(page).alias("__pages")).where("__pages > 1")
+    banded = held.where("edge is not null and signature is not null")
+    counted = banded.groupBy(section, "edge", "signature").agg(F.countDistinct(page).alias("n_pages"), F.min_by(text, F.struct(page, order)).alias("representative"))
+    often = counted.join(pages, section).where("2 * n_pages > __pages").drop("__pages")
+    return often, held.join(often.select(section, "edge", "signature"), [section, "edge", "signature"], "left_anti")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells, text
 from ..operators import relations, sequences
+from ..shipping import ship
 from ..sources import documents as src
 from ..streaming import sessions
 
@@ -28,11 +29,12 @@ def query(sql: str | None = None):
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)  # some readers run Python on the executors
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 #: Rows that the driver's tables lack: other scripts, list markers, page numbers, Markdown.
-SAMPLE_LINES = ["Hello world", "שלום עולם", "مرحبا بالعالم", "こんにちは世界", "你好世界", "Привет мир", "Γειά σου", "", "123 456", "abc שלום", "- item", "12. twelve", "iv) four", "b. letter", "Page 1", "Page 12 of 300", "Section 12345", "`a` ``b``", "a|b*c_d", "x <y> & \"z\"", "é ü ñ", "# Title #", "> quoted", "  1) nested", "1 2 3"]
+SAMPLE_LINES = ["Hello world", "שלום עולם", "مرحبا بالعالم", "こんにちは世界", "你好世界", "Привет мир", "Γειά σου", "", "123 456", "abc שלום", "- item", "12. twelve", "iv) four", "b. letter", "Page 1", "Page 12 of 300", "Section 12345", "▪item", "+ plus", "-", "i. one", "iv.", "123456) long", "XIV. fourteen", "e.g. prose", "Fig. 3 shows", "Tabletop", "  IMAGE", "&#233;&#x41;&amp;lt;&bogus;&#xD800;&trade;", "`a` ``b``", "a|b*c_d", "x <y> & \"z\"", "é ü ñ", "# Title #", "> quoted", "  1) nested", "1 2 3"]
 _VALUES = ", ".join("({}, '{}')".format(i, s.replace("'", "''")) for i, s in enumerate(SAMPLE_LINES))
 SAMPLE_SQL = f"(SELECT * FROM (VALUES {_VALUES}) AS s(id, line))"
 
@@ -82,7 +84,7 @@ def run_direction(spark, sf_dir, lines=samples):
 
 
 _TOP = "greatest(" + ", ".join(tally_sql(s, "line") for s in text.SCRIPT_RANGES) + ")"
-_SCRIPT = "CASE " + f"WHEN {_TOP} = 0 THEN 'none' " + " ".join(f"WHEN {tally_sql(s, 'line')} = {_TOP} THEN '{s}'" for s in text.SCRIPT_RANGES) + " END"
+_SCRIPT = "CASE " + f"WHEN {_TOP} = 0 THEN 'other' " + " ".join(f"WHEN {tally_sql(s, 'line')} = {_TOP} THEN '{s}'" for s in text.SCRIPT_RANGES) + " END"
 
 
 @query(f"""SELECT id, script, CASE WHEN script = 'arabic' THEN 'ar' WHEN script = 'hebrew' THEN 'he' WHEN script = 'cjk' AND regexp_matches(line, '[{text.KANA}]') THEN 'ja'
@@ -106,9 +108,9 @@ def furniture_signature(spark, sf_dir, lines=samples):
     return lines(spark, sf_dir).select("id", text.signature(F.col("line")).alias("signature"))
 
 
-@query(f"""SELECT id, CASE WHEN regexp_matches(l, '^[-*+•‣◦–] ') THEN 'bullet' WHEN regexp_matches(l, '^[0-9]{{1,4}}[.)] ') THEN 'decimal'
-    WHEN regexp_matches(l, '^(?:[ivxlcdm]{{2,}}|[IVXLCDM]{{2,}}|[ivxIVX])[.)] ') THEN 'roman' WHEN regexp_matches(l, '^[A-Za-z][.)] ') THEN 'letter' ELSE 'none' END AS marker,
-    regexp_replace(l, '^(?:[-*+•‣◦–]|[0-9]{{1,4}}[.)]|[ivxlcdm]+[.)]|[IVXLCDM]+[.)]|[A-Za-z][.)]) +', '') AS content FROM (SELECT id, ltrim(line) AS l FROM {SAMPLE_SQL})""")
+@query(rf"""SELECT id, CASE WHEN regexp_matches(l, '^([{text.GLYPHS}]|[{text.DASHES}]\s)') THEN 'bullet' WHEN regexp_matches(l, '^[0-9]+[.)](\s|$)') THEN 'decimal'
+    WHEN regexp_matches(l, '^[A-Za-z][.)](\s|$)') THEN 'letter' WHEN regexp_matches(l, '^([ivxlcdm]{{2,}}|[IVXLCDM]{{2,}})[.)](\s|$)') THEN 'roman' ELSE 'none' END AS marker,
+    regexp_replace(l, '^([{text.GLYPHS}]\s*|[{text.DASHES}]\s+|{text.ORDINAL}(\s+|$))', '') AS content FROM (SELECT id, regexp_replace(line, '^\s+', '') AS l FROM {SAMPLE_SQL})""")
 def list_markers(spark, sf_dir, lines=samples):
     return lines(spark, sf_dir).select("id", text.list_marker(F.col("line")).alias("marker"), text.strip_marker(F.col("line")).alias("content"))
 
@@ -287,8 +289,8 @@ def html_visible_text(spark, sf_dir):
 
 
 _DECODED = "regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)"
-for _e, _c in text.ENTITIES:
-    _DECODED = "replace({}, '{}', '{}')".format(_DECODED, _e, _c.replace("'", "''"))
+for _e, _c in reversed(text.ENTITIES.items()):  # & last
+    _DECODED = "replace({}, '&{};', '{}')".format(_DECODED, _e, _c.replace("'", "''"))
 
 
 @query(f"SELECT page_id, {_DECODED} AS footer FROM pages")
@@ -606,3 +608,6 @@ def event_sessions(spark, sf_dir):
 @query()
 def markdown_lines(spark, sf_dir):
     return src.markdown_kinds(src.lines(t(spark, sf_dir, "documents"))).groupBy("kind", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+from . import more  # noqa: E402, F401  the queries of more.py join these

@@ -41,8 +41,23 @@ def detect_delimiter(records: DataFrame, key: str = "doc_id", line_no: str = "li
     return best.groupBy(key).agg(F.max(F.struct(score.alias("score"), (-F.col("rank")).alias("rank"), F.when(score > 0, F.col("delimiter")).otherwise(",").alias("delimiter"))).alias("b")).select(key, "b.delimiter", F.col("b.score").cast("long").alias("score"))
 
 
-def csv_records(df: DataFrame, key: str, raw: str, delimiter: str = ",") -> DataFrame:
-    """RFC 4180 records of CSV strings, line ends inside quotes included: key, row, fields."""
+def csv_delimiter(raw: Column) -> Column:
+    """A CSV string's delimiter, by the rule of detect_delimiter over its first ten records: what stands in quotes divides neither fields nor records."""
+    plain = F.regexp_replace(F.regexp_replace(raw, "^\ufeff", ""), r'"(?:[^"]|"")*+"?', "q")
+    records = F.slice(F.split(F.regexp_replace(plain, r"(?:\r\n|\n|\r)$", ""), r"\r\n|\n|\r"), 1, 10)
+
+    def scored(rank: int, mark: str) -> Column:
+        widths = F.transform(records, lambda r: F.size(F.split(r, "\\|" if mark == "|" else mark)))
+        most = F.array_max(widths)
+        score = F.when(most > 1, 100 * F.size(F.filter(widths, lambda w: w == most)) + most).otherwise(0)
+        return F.struct(score.alias("score"), F.lit(-rank).alias("rank"), F.when(score > 0, F.lit(mark)).otherwise(",").alias("delimiter"))
+
+    scores = [scored(rank, mark) for rank, mark in enumerate(DELIMITERS)]
+    return F.array_max(F.array(*scores))["delimiter"]
+
+
+def csv_records(df: DataFrame, key: str, raw: str, delimiter: str = ",", delimiter_col: str | None = None) -> DataFrame:
+    """RFC 4180 records of CSV strings, line ends inside quotes included: key, row, fields. delimiter_col: a column with each string's own."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,10 +65,18 @@ def csv_records(df: DataFrame, key: str, raw: str, delimiter: str = ",") -> Data
         import io
 
         for batch in batches:
-            out = [(k, i, list(r)) for k, text in zip(batch[key], batch[raw]) for i, r in enumerate(csv.reader(io.StringIO((text or "").lstrip("﻿"), newline=""), delimiter=delimiter))]
+            marks = batch["__mark"]
+            out = [(k, i, list(r)) for k, text, mark in zip(batch[key], batch[raw], marks) for i, r in enumerate(csv.reader(io.StringIO((text or "").removeprefix("﻿"), newline=""), delimiter=mark))]
             yield pd.DataFrame(out, columns=[key, "row", "fields"])
 
-    return df.select(key, raw).mapInPandas(run, f"`{key}` {kind}, row int, fields array<string>")
+    return df.select(key, raw, (F.col(delimiter_col) if delimiter_col else F.lit(delimiter)).alias("__mark")).mapInPandas(run, f"`{key}` {kind}, row int, fields array<string>")
+
+
+def csv_sheet(records: DataFrame, key: str) -> DataFrame:
+    """Records to cells, each record padded to the widest of its string: key, row, col, cell."""
+    widest = records.groupBy(key).agg(F.max(F.size("fields")).alias("__width"))
+    cell = F.explode(F.expr("transform(sequence(0, __width - 1), i -> named_struct('col', i, 'cell', coalesce(get(fields, i), '')))"))
+    return records.join(widest, key).where("__width > 0").select(key, "row", cell.alias("c")).select(key, "row", "c.col", "c.cell")
 
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())

@@ -1,14 +1,11 @@
-"""Makes this package importable on the executors, wherever the driver found it, and bounds what a Python worker is sent at once."""
+"""Makes this package importable on the executors, and bounds what a Python worker is sent at once."""
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-
 from pyspark.sql import SparkSession
 
-_shipped: set[str] = set()
+from ..shipping import ship as _ship_package
+
 #: A worker holds a whole Arrow batch and what it makes of it: Spark's 10,000 rows may be gigabytes of long texts.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
@@ -24,10 +21,4 @@ def _bound_batches(spark: SparkSession) -> None:
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors once for each application, and bounds the session's batches."""
     _bound_batches(spark)
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    name = os.path.join(tempfile.mkdtemp(prefix="quillspark-"), "quillspark_package")
-    context.addPyFile(shutil.make_archive(name, "zip", top, "quillspark"))
-    _shipped.add(context.applicationId)
+    _ship_package(spark)

@@ -105,6 +105,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_exact_dedup": f"""
@@ -112,4 +115,25 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(body) AS text_sha256
             FROM n WINDOW w AS (PARTITION BY body)""",
+            "op7_ngram_join": f"""
+            WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({FOLDED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+            s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM d WHERE len(w) > 0),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+            p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+            l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+            e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+            r AS (SELECT doc_id AS node, doc_id AS root FROM n UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a),
+            m AS (SELECT node, min(root) AS root FROM r GROUP BY 1)
+            SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.root, d.doc_id) AS component_id
+            FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.node = d.doc_id""",
+        "op10_decontaminate": f"""
+            WITH d AS (SELECT doc_id, regexp_extract_all({FOLDED}, '{WORD}') AS w FROM documents),
+            i AS (SELECT item_id, w, least(len(w), 10) AS span FROM (SELECT item_id, regexp_extract_all({FOLDED}, '{WORD}') AS w FROM benchmark) WHERE len(w) > 0),
+            v AS (SELECT DISTINCT item_id, span, array_to_string(w[k:k + span - 1], ' ') AS run FROM i, unnest(range(1, len(w) - span + 2)) AS u(k)),
+            t AS (SELECT doc_id, k AS place, span, array_to_string(w[k:k + span - 1], ' ') AS run FROM d, (SELECT DISTINCT span FROM i), unnest(range(1, len(w) - span + 2)) AS u(k)),
+            h AS (SELECT DISTINCT doc_id, place, span, item_id FROM t JOIN v USING (span, run)),
+            a AS (SELECT doc_id, count(DISTINCT place + k) AS n_hit FROM h, unnest(range(0, span)) AS u(k) GROUP BY 1),
+            b AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h WHERE item_id IS NOT NULL) GROUP BY 1)
+            SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+            FROM d LEFT JOIN a ON a.doc_id = d.doc_id LEFT JOIN b ON b.doc_id = d.doc_id""",
     }

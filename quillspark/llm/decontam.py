@@ -77,7 +77,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for n in short:  # items of so many words are marked as a whole
         kept = F.concat(kept, grams("words", n))
     # one more mark, that of no text, brings each document through with its number of words
-    every = split.withColumn("n_words", F.size("words")).withColumn("marks", F.concat(F.array(F.lit(None).cast("long")), F.array_distinct(kept)))
+    every = pinned(split, n_words=F.size("words"), marks=F.concat(F.array(F.lit(None).cast("long")), F.array_distinct(kept)))
     every = every.select("doc_id", "twin", "n_words", F.explode("marks").alias("mark")).withColumn("self", F.col("mark").isNull()).withColumn("mark", F.coalesce("mark", F.lit(0)))
     named = marks.select("mark").distinct().withColumn("self", F.lit(False))
     none = marks.sparkSession.range(1).select(F.lit(0).cast("long").alias("mark"), F.lit(True).alias("self"))

@@ -139,4 +139,6 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
         counted.groupBy("digest", "version").agg(F.max("n_tokens").alias("n_tokens")).write.mode("append").parquet(cache)
         stored = _stored(spark, cache, version)
     discard(owners)
+    # written first, so that Spark may split a hot digest of the join
+    stored = materialize(stored.join(small.select("digest").distinct(), "digest", "left_semi"), "count-stored")
     return small.join(stored, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

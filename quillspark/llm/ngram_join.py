@@ -210,7 +210,7 @@ def _suffix_fits(a: str, b: str, percent: int) -> Column:
 def _open(told: DataFrame) -> DataFrame:
     """The postings of hashes that nodes of different components have."""
     mixed = told.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("top")).where("low <> top").select("token")
-    return told.join(mixed, "token", "left_semi")
+    return told.join(materialize(mixed, "join-mixed"), "token", "left_semi")  # written first, so that Spark may split a hot hash
 
 
 def _matchable(held: DataFrame, percent: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cells, text
 from ..operators import relations
 from ..sources import documents as src
-from .registry import ALL_LINES_SQL, SAMPLE_SQL, _roman_sql, all_lines, query, samples, t
+from .registry import ALL_LINES_SQL, _roman_sql, all_lines, query, t
 
 
 def _sql(value: str) -> str:
@@ -26,13 +26,13 @@ def decoded_sql(column: str) -> str:
     return f"array_to_string(list_transform(regexp_extract_all({column}, '{text.REFERENCE}'), lambda p: CASE WHEN regexp_matches(p, '^&#.+;$') THEN {numeric} {_NAMED} ELSE p END), '')"
 
 
-@query(f"SELECT id, {decoded_sql('line')} AS decoded FROM {SAMPLE_SQL}")
-def html_entity_samples(spark, sf_dir):
-    return samples(spark, sf_dir).select("id", text.decode_entities(F.col("line")).alias("decoded"))
+@query(f"SELECT id, {decoded_sql('line')} AS decoded FROM {ALL_LINES_SQL}")
+def html_entity_lines(spark, sf_dir):
+    return all_lines(spark, sf_dir).select("id", text.decode_entities(F.col("line")).alias("decoded"))
 
 
 @query(f"SELECT page_id, md5({decoded_sql('html')}) AS digest FROM pages")
-def html_entity_decode_all(spark, sf_dir):
+def html_entity_decode(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", F.md5(text.decode_entities(F.col("html"))).alias("digest"))
 
 

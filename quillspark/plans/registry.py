@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,6 +46,16 @@ LINES_SQL = r"""(SELECT doc_id, i - 1 AS line_no, regexp_replace(l[i], '[ \t\r\f
     FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(generate_series(1, len(l))) AS u(i))"""
 
 
+#: All lines of the documents, and the sample rows beside them.
+ALL_LINES_SQL = f"(SELECT doc_id::VARCHAR || ':' || line_no::VARCHAR AS id, line FROM {LINES_SQL} UNION ALL SELECT 'sample:' || id::VARCHAR, line FROM {SAMPLE_SQL})"
+
+
+def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = src.lines(t(spark, sf_dir, "documents"))
+    rows = rows.select(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("line_no").cast("string")).alias("id"), "line")
+    return rows.unionByName(samples(spark, sf_dir).select(F.concat(F.lit("sample:"), F.col("id").cast("string")).alias("id"), "line"))
+
+
 def tally_sql(script: str, column: str) -> str:
     return f"length(regexp_replace({column}, '[^{text.SCRIPT_RANGES[script]}]', '', 'g'))"
 
@@ -78,9 +87,9 @@ _RTL = " + ".join(tally_sql(s, "line") for s in text.RTL)
 _LTR = " + ".join(tally_sql(s, "line") for s in text.SCRIPT_RANGES if s not in text.RTL)
 
 
-@query(f"SELECT id, CASE WHEN ({_RTL}) + ({_LTR}) = 0 THEN 'neutral' WHEN ({_RTL}) > ({_LTR}) THEN 'rtl' ELSE 'ltr' END AS direction FROM {SAMPLE_SQL}")
-def run_direction(spark, sf_dir, lines=samples):
-    return lines(spark, sf_dir).select("id", text.direction(F.col("line")).alias("direction"))
+@query(f"SELECT id, CASE WHEN ({_RTL}) + ({_LTR}) = 0 THEN 'neutral' WHEN ({_RTL}) > ({_LTR}) THEN 'rtl' ELSE 'ltr' END AS direction FROM {ALL_LINES_SQL}")
+def run_direction(spark, sf_dir):
+    return all_lines(spark, sf_dir).select("id", text.direction(F.col("line")).alias("direction"))
 
 
 _TOP = "greatest(" + ", ".join(tally_sql(s, "line") for s in text.SCRIPT_RANGES) + ")"
@@ -88,9 +97,9 @@ _SCRIPT = "CASE " + f"WHEN {_TOP} = 0 THEN 'other' " + " ".join(f"WHEN {tally_sq
 
 
 @query(f"""SELECT id, script, CASE WHEN script = 'arabic' THEN 'ar' WHEN script = 'hebrew' THEN 'he' WHEN script = 'cjk' AND regexp_matches(line, '[{text.KANA}]') THEN 'ja'
-    WHEN script = 'cjk' THEN 'zh' END AS lang FROM (SELECT *, {_SCRIPT} AS script FROM {SAMPLE_SQL})""")
-def document_language(spark, sf_dir, lines=samples):
-    rows = lines(spark, sf_dir).withColumn("script", text.dominant_script(text.script_tallies(F.col("line"))))
+    WHEN script = 'cjk' THEN 'zh' END AS lang FROM (SELECT *, {_SCRIPT} AS script FROM {ALL_LINES_SQL})""")
+def document_language(spark, sf_dir):
+    rows = all_lines(spark, sf_dir).withColumn("script", text.dominant_script(text.script_tallies(F.col("line"))))
     return rows.select("id", "script", text.language_guess(F.col("script"), F.col("line")).alias("lang"))
 
 
@@ -103,16 +112,16 @@ _PLAIN = r"trim(regexp_replace(lower(line), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
 _FOLD = "regexp_replace({0}, '(^|[^0-9])[0-9]{{1,4}}([^0-9]|$)', '\\1#\\2', 'g')"
 
 
-@query(f"SELECT id, CASE WHEN length(regexp_replace({_PLAIN}, '[^\\p{{L}}]', '', 'g')) <= 6 THEN {_FOLD.format(_FOLD.format(_PLAIN))} ELSE {_PLAIN} END AS signature FROM {SAMPLE_SQL}")
-def furniture_signature(spark, sf_dir, lines=samples):
-    return lines(spark, sf_dir).select("id", text.signature(F.col("line")).alias("signature"))
+@query(f"SELECT id, CASE WHEN length(regexp_replace({_PLAIN}, '[^\\p{{L}}]', '', 'g')) <= 6 THEN {_FOLD.format(_FOLD.format(_PLAIN))} ELSE {_PLAIN} END AS signature FROM {ALL_LINES_SQL}")
+def furniture_signature(spark, sf_dir):
+    return all_lines(spark, sf_dir).select("id", text.signature(F.col("line")).alias("signature"))
 
 
 @query(rf"""SELECT id, CASE WHEN regexp_matches(l, '^([{text.GLYPHS}]|[{text.DASHES}]\s)') THEN 'bullet' WHEN regexp_matches(l, '^[0-9]+[.)](\s|$)') THEN 'decimal'
     WHEN regexp_matches(l, '^[A-Za-z][.)](\s|$)') THEN 'letter' WHEN regexp_matches(l, '^([ivxlcdm]{{2,}}|[IVXLCDM]{{2,}})[.)](\s|$)') THEN 'roman' ELSE 'none' END AS marker,
-    regexp_replace(l, '^([{text.GLYPHS}]\s*|[{text.DASHES}]\s+|{text.ORDINAL}(\s+|$))', '') AS content FROM (SELECT id, regexp_replace(line, '^\s+', '') AS l FROM {SAMPLE_SQL})""")
-def list_markers(spark, sf_dir, lines=samples):
-    return lines(spark, sf_dir).select("id", text.list_marker(F.col("line")).alias("marker"), text.strip_marker(F.col("line")).alias("content"))
+    regexp_replace(l, '^([{text.GLYPHS}]\s*|[{text.DASHES}]\s+|{text.ORDINAL}(\s+|$))', '') AS content FROM (SELECT id, regexp_replace(line, '^\s+', '') AS l FROM {ALL_LINES_SQL})""")
+def list_markers(spark, sf_dir):
+    return all_lines(spark, sf_dir).select("id", text.list_marker(F.col("line")).alias("marker"), text.strip_marker(F.col("line")).alias("content"))
 
 
 def _roman_sql(n: str) -> str:
@@ -128,24 +137,28 @@ def roman_labels(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_partkey", text.roman(F.col("p_partkey")).alias("roman"))
 
 
-@query("""SELECT p_partkey, (CASE WHEN p_partkey > 18278 THEN chr((97 + ((p_partkey - 18279) // 17576) % 26)::INT) ELSE '' END) || (CASE WHEN p_partkey > 702 THEN chr((97 + ((p_partkey - 703) // 676) % 26)::INT) ELSE '' END)
+_LABEL = "repeat(chr((97 + (p_partkey - 1) % 26)::INT), ((p_partkey - 1) // 26 + 1)::INT)"
+
+
+@query(f"""SELECT p_partkey, (CASE WHEN p_partkey > 18278 THEN chr((97 + ((p_partkey - 18279) // 17576) % 26)::INT) ELSE '' END) || (CASE WHEN p_partkey > 702 THEN chr((97 + ((p_partkey - 703) // 676) % 26)::INT) ELSE '' END)
     || (CASE WHEN p_partkey > 26 THEN chr((97 + ((p_partkey - 27) // 26) % 26)::INT) ELSE '' END) || (CASE WHEN p_partkey > 0 THEN chr((97 + (p_partkey - 1) % 26)::INT) ELSE '' END) AS letters,
-    CASE WHEN p_partkey > 0 THEN repeat(chr((97 + (p_partkey - 1) % 26)::INT), ((p_partkey - 1) // 26 + 1)::INT) END AS label FROM part WHERE p_partkey BETWEEN 1 AND 2000""")
+    CASE WHEN p_partkey > 0 THEN length({_LABEL}) END AS n_label, CASE WHEN p_partkey > 0 THEN md5({_LABEL}) END AS label_md5 FROM part""")
 def letter_labels(spark, sf_dir):
-    part = t(spark, sf_dir, "part").where("p_partkey between 1 and 2000")  # labels of later pages are kilobytes long
-    return part.select("p_partkey", text.letters(F.col("p_partkey")).alias("letters"), text.repeated_letters(F.col("p_partkey")).alias("label"))
+    """Every part's two labels, the long one as length and digest: labels of later pages are kilobytes long."""
+    label = text.repeated_letters(F.col("p_partkey"))
+    return t(spark, sf_dir, "part").select("p_partkey", text.letters(F.col("p_partkey")).alias("letters"), F.length(label).alias("n_label"), F.md5(label).alias("label_md5"))
 
 
 @query(rf"""SELECT id, replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS html, regexp_replace(line, '([\\`*_\[\]<>|#])', '\\\1', 'g') AS markdown,
-    CASE WHEN regexp_matches(line, '[,"\r\n]') THEN '"' || replace(line, '"', '""') || '"' ELSE line END AS csv FROM {SAMPLE_SQL}""")
-def escapes(spark, sf_dir, lines=samples):
+    CASE WHEN regexp_matches(line, '[,"\r\n]') THEN '"' || replace(line, '"', '""') || '"' ELSE line END AS csv FROM {ALL_LINES_SQL}""")
+def escapes(spark, sf_dir):
     line = F.col("line")
-    return lines(spark, sf_dir).select("id", text.escape_html(line).alias("html"), text.escape_markdown(line).alias("markdown"), text.csv_field(line).alias("csv"))
+    return all_lines(spark, sf_dir).select("id", text.escape_html(line).alias("html"), text.escape_markdown(line).alias("markdown"), text.csv_field(line).alias("csv"))
 
 
-@query(f"SELECT id, coalesce(list_max(list_transform(regexp_extract_all(line, '`+'), lambda x: length(x))), 0)::INT AS longest FROM {SAMPLE_SQL}")
-def longest_backticks(spark, sf_dir, lines=samples):
-    return lines(spark, sf_dir).select("id", text.longest_backticks(F.col("line")).alias("longest"))
+@query(f"SELECT id, coalesce(list_max(list_transform(regexp_extract_all(line, '`+'), lambda x: length(x))), 0)::INT AS longest FROM {ALL_LINES_SQL}")
+def longest_backticks(spark, sf_dir):
+    return all_lines(spark, sf_dir).select("id", text.longest_backticks(F.col("line")).alias("longest"))
 
 
 @query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents")
@@ -153,27 +166,6 @@ def text_digests(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("md5"), F.sha1("text").alias("sha1"), F.sha2("text", 256).alias("sha256"))
 
 
-#: All lines of the documents, and the sample rows beside them.
-ALL_LINES_SQL = f"(SELECT doc_id::VARCHAR || ':' || line_no::VARCHAR AS id, line FROM {LINES_SQL} UNION ALL SELECT 'sample:' || id::VARCHAR, line FROM {SAMPLE_SQL})"
-
-
-def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = src.lines(t(spark, sf_dir, "documents"))
-    rows = rows.select(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("line_no").cast("string")).alias("id"), "line")
-    return rows.unionByName(samples(spark, sf_dir).select(F.concat(F.lit("sample:"), F.col("id").cast("string")).alias("id"), "line"))
-
-
-for _key in ("run_direction", "document_language", "furniture_signature", "list_markers", "escapes", "longest_backticks"):
-    ORACLES[f"{_key}_lines"], QUERIES[f"{_key}_lines"] = ORACLES[_key].replace(SAMPLE_SQL, ALL_LINES_SQL), partial(QUERIES[_key], lines=all_lines)
-
-
-# every part, its long label as length and digest, as labels of later pages are kilobytes long
-@query(ORACLES["letter_labels"].replace("SELECT p_partkey, (CASE", "SELECT p_partkey, letters, length(label) AS n_label, md5(label) AS label_md5 FROM (SELECT p_partkey, (CASE").replace(" WHERE p_partkey BETWEEN 1 AND 2000", ")"))
-def letter_labels_all(spark, sf_dir):
-    label = text.repeated_letters(F.col("p_partkey"))
-    return t(spark, sf_dir, "part").select("p_partkey", text.letters(F.col("p_partkey")).alias("letters"), F.length(label).alias("n_label"), F.md5(label).alias("label_md5"))
-
-
 # --- cells, dates, numbers ----------------------------------------------------------------------
 
 _CELLS = """(SELECT o_orderkey AS id, 'status' AS col, o_orderstatus AS cell FROM orders UNION ALL SELECT o_orderkey, 'day', strftime(o_orderdate, '%Y-%m-%d') FROM orders
@@ -263,7 +255,6 @@ for _key, _pattern, _name in (
     ("html_links", r'<a\s[^>]*href="([^"]*)"', "href"),
     ("html_list_items", r"(?s)<li>(.*?)</li>", "item"),
     ("html_headings", r"(?s)<h[1-6][^>]*>(.*?)</h[1-6]>", "heading"),
-    ("html_paragraphs", r"(?s)<p>([^<]+)", "paragraph"),
 ):
     ORACLES[_key], QUERIES[_key] = _exploded(_pattern, _name)
 
@@ -288,16 +279,6 @@ def html_visible_text(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", src.strip_tags(F.col("html")).alias("visible"))
 
 
-_DECODED = "regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)"
-for _e, _c in reversed(text.ENTITIES.items()):  # & last
-    _DECODED = "replace({}, '&{};', '{}')".format(_DECODED, _e, _c.replace("'", "''"))
-
-
-@query(f"SELECT page_id, {_DECODED} AS footer FROM pages")
-def html_entity_decode(spark, sf_dir):
-    return t(spark, sf_dir, "pages").select("page_id", text.decode_entities(F.regexp_extract("html", r"(?s)<footer>(.*?)</footer>", 1)).alias("footer"))
-
-
 @query("SELECT kind, resource, count(DISTINCT page_id) AS n_pages FROM (SELECT page_id, 'link' AS kind, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS resource FROM pages) GROUP BY ALL")
 def html_needed_resources(spark, sf_dir):
     found = t(spark, sf_dir, "pages").select("page_id", F.lit("link").alias("kind"), F.explode(src.matches_of(F.col("html"), 'href="([^"]*)"')).alias("resource"))

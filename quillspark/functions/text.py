@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -204,3 +206,34 @@ def tidy_markdown(text: Column) -> Column:
 
 def longest_backticks(text: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit("`+"), F.lit(0)), F.length)), F.lit(0))
+
+
+def escape_json(text: Column) -> Column:
+    """A JSON string with its quotes: \\n, \\r and \\t by name, other control characters by number."""
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    rare = text
+    for code in set(range(32)) - {9, 10, 13}:
+        rare = F.replace(rare, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x1F]"), rare).otherwise(text), F.lit('"'))
+
+
+def yaml_scalar(text: Column) -> Column:
+    """As it is, or quoted where YAML would read it otherwise: empty, spaces at an end, an indicator in front, ": ", " #", line ends, tabs."""
+    quoted = text
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t")):
+        quoted = F.replace(quoted, F.lit(plain), F.lit(escaped))
+    return F.when(text.rlike(r"""^$|^ | $|^[!&*?|>%@`"'#-]|: | #|[\n\t]"""), F.concat(F.lit('"'), quoted, F.lit('"'))).otherwise(text)
+
+
+def link_destination(url: Column) -> Column:
+    """A Markdown link's destination: in angle brackets if it has a space or a control character, else with parentheses escaped."""
+    angled = F.concat(F.lit("<"), F.replace(F.replace(url, F.lit("<"), F.lit("%3C")), F.lit(">"), F.lit("%3E")), F.lit(">"))
+    return F.when(url.rlike(r"[ \x00-\x1F\x7F\x{80}-\x{9F}]"), angled).otherwise(F.replace(F.replace(url, F.lit("("), F.lit("%28")), F.lit(")"), F.lit("%29")))
+
+
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """The hexadecimal HMAC of a text in UTF-8 under a key."""
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in key)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)

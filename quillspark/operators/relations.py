@@ -47,6 +47,23 @@ def delete_gap(df: DataFrame, index: str, at: int) -> DataFrame:
     return df.where(F.col(index) != at).withColumn(index, F.when(F.col(index) > at, F.col(index) - 1).otherwise(F.col(index)))
 
 
+def delete_spanned(df: DataFrame, keys: list[str], index: str, span: str, at: int) -> DataFrame:
+    """delete_gap for cells that span several rows: those above `at` that reach over it get one shorter.
+
+    A table (rows of the same keys) without a row `at` stays as it is, though a span may reach beyond its end.
+    """
+    there = F.max(index).over(Window.partitionBy(*keys)) >= at
+    over = there & (F.col(index) < at) & (F.col(span) > at - F.col(index))
+    return delete_gap(df.withColumn(span, F.when(over, F.col(span) - 1).otherwise(F.col(span))), index, at)
+
+
+def restack(df: DataFrame, keys: list[str], index: str, at: int, to_front: bool) -> DataFrame:
+    """df with the element at `at` drawn last (to_front) or first, and the index renewed; one that is not there moves nothing."""
+    end = F.lit(float("inf") if to_front else float("-inf"))
+    place = F.when(F.col(index) == at, end).otherwise(F.col(index).cast("double"))
+    return renumber(df.withColumn("__place", place), keys, ["__place"], index).drop("__place")
+
+
 def last_wins(patches: DataFrame, keys: list[str], order: str, fields: list[str]) -> DataFrame:
     """For each key the last value that any patch names, field by field."""
     return patches.groupBy(*keys).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in fields])

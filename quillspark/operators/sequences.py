@@ -73,3 +73,18 @@ def cluster_edges(df: DataFrame, value: str, partition: list[str], slack: float
     fold = f"""aggregate(array_sort(collect_list({value})), cast(array() as array<double>), (a, x) ->
         if(size(a) > 0 and x - a[size(a) - 1] <= {slack}, concat(slice(a, 1, size(a) - 1), array((a[size(a) - 1] + x) / 2)), array_append(a, x)))"""
     return df.groupBy(*partition).agg(F.expr(fold).alias("edges"))
+
+
+def fold_outline(df: DataFrame, level: str, partition: list[str], index: str) -> DataFrame:
+    """df with `depth` and `parent` (the index of the entry that it hangs under): a level deeper than the open path allows is clamped.
+
+    `index` counts a group's entries from 0. A depth is at most one more than the depth before it, so depth minus index
+    is the least of 0 and level minus index so far: a running minimum, without a loop.
+    """
+    from .relations import as_of
+
+    w = Window.partitionBy(*partition).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
+    depth = F.col(index) + F.least(F.lit(0), F.min(F.col(level) - F.col(index)).over(w))
+    rows = df.withColumn("depth", depth.cast("int"))
+    starts = rows.select(*partition, (F.col("depth") + 1).alias("depth"), F.col(index).alias("__start"), F.col(index).alias("parent"))
+    return as_of(rows, starts, index, "__start", [*partition, "depth"], ["parent"])

@@ -591,4 +591,4 @@ def markdown_lines(spark, sf_dir):
     return src.markdown_kinds(src.lines(t(spark, sf_dir, "documents"))).groupBy("kind", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
-from . import more  # noqa: E402, F401  the queries of more.py join these
+from . import layout, more  # noqa: E402, F401  their queries join these

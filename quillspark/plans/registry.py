@@ -367,7 +367,9 @@ def gutter_sweep(spark, sf_dir):
     return sequences.uncovered_gaps(rows, "low", "high", ["page"], 18)
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT l_suppkey, x, row_number() OVER (PARTITION BY l_suppkey ORDER BY x) AS i FROM (SELECT DISTINCT l_suppkey, l_quantity AS x FROM lineitem)),
+    f AS (SELECT l_suppkey, i, [x] AS edges FROM v WHERE i = 1 UNION ALL SELECT v.l_suppkey, v.i, CASE WHEN v.x - f.edges[-1] <= 3 THEN list_append(f.edges[1:len(f.edges) - 1], (f.edges[-1] + v.x) / 2) ELSE list_append(f.edges, v.x) END
+    FROM f JOIN v ON v.l_suppkey = f.l_suppkey AND v.i = f.i + 1) SELECT l_suppkey, arg_max(edges, i) AS edges FROM f GROUP BY l_suppkey""")
 def edge_clusters(spark, sf_dir):
     rows = t(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity").distinct()
     return sequences.cluster_edges(rows, "l_quantity", ["l_suppkey"], 3.0)

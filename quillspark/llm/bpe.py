@@ -14,9 +14,9 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import sys
 import unicodedata
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
@@ -83,8 +83,10 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-#: Where array's int is not the little-endian int32 that is written.
-_BIG = sys.byteorder != "little" or array("i").itemsize != 4
+#: Marks that end a word.
+ENDS = ".,;:!?"
+#: What writes so many ids as little-endian int32.
+PACKED = [struct.Struct(f"<{n}i").pack for n in range(65)]
 
 
 def _keep(table: dict[str, bytes], key: str, ids: bytes) -> None:
@@ -114,6 +116,7 @@ class ByteBpe:
         for a, b in inside:
             self.joined[a, b] = True
         self.joined_rows = [bytes(row) for row in self.joined.astype(np.uint8)]
+        self.joined_pairs = frozenset((a, b) for a, b in inside)
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.added_split = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         size = max([*vocab.values(), *self.added.values()]) + 1
@@ -150,11 +153,14 @@ class ByteBpe:
 
     def fragments(self, word: bytes) -> list[bytes]:
         """word, cut wherever two neighbouring bytes stand together in no token."""
-        rows = self.joined_rows
-        if all([rows[a][b] for a, b in pairwise(word)]):
+        if self.joined_pairs.issuperset(pairwise(word)):
             return [word]
-        cuts = [i for i, (a, b) in enumerate(pairwise(word), 1) if not rows[a][b]]
-        return [word[a:b] for a, b in pairwise([0, *cuts, len(word)])]
+        rows, out, start = self.joined_rows, [], 0
+        for i in [i for i, (a, b) in enumerate(pairwise(word), 1) if not rows[a][b]]:
+            out.append(word[start:i])
+            start = i
+        out.append(word[start:])
+        return out
 
     def merge(self, fragment: bytes) -> list[int]:
         """The ids of one fragment: the pair of lowest rank is merged first, from the left."""
@@ -210,15 +216,25 @@ class ByteBpe:
         return got
 
     def _ids(self, word: bytes) -> bytes:
-        out: list[int] = []
-        for fragment in self.fragments(word):
-            out += self.merge(fragment)
-        return np.array(out, "<i4").tobytes() if _BIG else array("i", out).tobytes()
+        fragments, merge = self.fragments(word), self.compiled or self.merge
+        if len(fragments) == 1:
+            out = merge(word)
+        else:
+            out, single = [], self.single
+            for f in fragments:
+                if len(f) > 1:
+                    out += merge(f)
+                else:
+                    out.append(single[f[0]])
+        n = len(out)
+        return PACKED[n](*out) if n < len(PACKED) else struct.pack(f"<{n}i", *out)
 
     def spaced(self, rest: str) -> bytes:
         """The ids of a space and the text up to the next one."""
         if rest.isalpha():  # letters alone, so one pre-token
             got = self._ids((" " + rest).encode("utf-8", "surrogatepass"))
+        elif rest[-1:] in ENDS and (stem := rest[:-1]).isalpha():  # such a word and a mark, a pre-token of its own
+            got = (self.table.get(stem) or self.spaced(stem)) + self.word(rest[-1])
         else:
             got = b"".join(map(self.word, pre_tokens(" " + rest)))
         _keep(self.table, rest, got)

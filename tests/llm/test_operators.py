@@ -68,6 +68,21 @@ def test_bpe_cuts_are_certain_and_both_merge_loops_agree():
         assert plain.merge(word) == table.merge(word) == [i for f in table.fragments(word) for i in plain.merge(f)]
 
 
+def test_bpe_merges_a_word_once_whatever_mark_follows(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    library, table, merged = Tokenizer.from_file(path), bpe.ByteBpe(path), []
+    compiled = table.compiled
+    monkeypatch.setattr(table, "compiled", lambda f: merged.append(f) or compiled(f))
+    for word in ("thonreandin", "Geländejq", "日本語", "ǅʰ"):
+        for mark in ("", *".,;:!?"):
+            for t in (f"x {word}{mark}", f"x {word}{mark} y"):
+                assert table.encode(t) == library.encode(t, add_special_tokens=False).ids, t
+    whole = [f for f in table.fragments(b" thonreandin") if len(f) > 1]
+    assert whole and [merged.count(f) for f in whole] == [1] * len(whole)
+
+
 def test_packing_is_lossless_and_best_fit(spark):
     rng = random.Random(2)
     rows = [(i, [rng.randrange(100) for _ in range(rng.choice([0, 1, 5, 16, 17, 70]))]) for i in range(60)] + [(60, None)]

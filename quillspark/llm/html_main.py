@@ -49,6 +49,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template svg math iframe object canvas textarea title head select".split())
 FURNITURE = frozenset("nav footer aside form button menu dialog".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var wbr big strike ruby rb rt rp".split())
+#: What a start tag ends where the end tag was left out: these if innermost, a paragraph whatever inline markup is open in it.
+ENDED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre search section table ul".split())
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|notification|alert|gdpr|nav\w*|menu|breadcrumbs?|sidebar|side|footer|header|masthead|topbar|share|sharing|social|related|"
     r"newsletter|subscribe|subscription|signup|login|search|comment|comments|disqus|reply|replies|respond|popup|modal|overlay|widget|toolbar|pagination|pager)(?:$|[\s_-])",
@@ -98,11 +101,20 @@ def blocks(html: str) -> list[tuple[int, str]]:
 
     def end() -> None:
         if text:
-            words = " ".join(unescape("".join(text)).split())
+            words = " ".join("".join(map(unescape, text)).split())  # a reference does not go on behind a tag
             if words:
                 out.append((OUTSIDE if not main else KEPT if kept else ARTICLE, words))
             text.clear()
 
+    def leave() -> str:
+        nonlocal hidden, main, kept
+        own, furniture, is_main, is_kept = stack.pop()
+        opened[own] -= 1
+        hidden -= furniture
+        main -= is_main
+        kept -= is_kept
+        return own
+
     at, n, last, start = 0, len(html), html.rfind(">"), 0
     while at < n:
         lt = html.find("<", at)
@@ -137,22 +149,25 @@ def blocks(html: str) -> list[tuple[int, str]]:
             end()
         if m[1]:
             if opened[name]:
-                while True:
-                    own, furniture, is_main, is_kept = stack.pop()
-                    opened[own] -= 1
-                    hidden -= furniture
-                    main -= is_main
-                    kept -= is_kept
-                    if own == name:
-                        break
-        elif name in RAW:
+                while leave() != name:
+                    pass
+            continue
+        if opened["p"] and name in ENDS_P:
+            while leave() != "p":
+                pass
+        if name in ENDED:
+            while stack and stack[-1][0] in ENDED[name]:
+                leave()
+        if name in RAW:
             close = None if name in unclosed else _CLOSE[name].search(html, at)
             if not close:
                 unclosed.add(name)
             if close or name not in ("head", "select"):
                 at = start = close.end() if close else n
-        elif name not in VOID and name != "p":
+        elif name not in VOID:
             furniture, is_main = _is_furniture(name, m[3], main > 0), name in ("article", "main")
+            if name == "p" and not furniture:  # nothing to be undone where it ends
+                continue
             stack.append((name, furniture, is_main, name in PROTECTED))
             opened[name] += 1
             hidden += furniture

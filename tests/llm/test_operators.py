@@ -411,6 +411,24 @@ def test_html_of_bad_markup(spark):
     assert got == [(0, 1), (0, 1), (1, 999_999), (1, 999_999)]
 
 
+def test_html_of_marked_paragraphs_left_out_ends_and_split_references(spark):
+    cases = {
+        "<article><p class='ad'>Buy <b>now</p><p>keep</p></article>": "keep",
+        "<p id=cookie-notice>We use cookies <a>x<p>keep": "keep",
+        "<article><p class=advert>Buy<div>keep</div><p class=ad>no</article>tail": "keep tail",
+        "<article><ul><li class=ad>no<li>yes<ul><li class=ad>no</ul>more</ul></article>": "yes more",
+        "<table><tr><td class=sidebar>menu<td>body<tr><td>next</table>": "body next",
+        "<article>a &am<b>p;</b> &lt<!-- -->; &amp;lt; &#65;<i>&#x42;</i></article>": "a &amp; <; &lt; AB",
+    }
+    rows = spark.createDataFrame([(i, f"http://h{i}/", h) for i, h in enumerate(cases)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_main.extract(rows).collect()}
+    assert got == dict(enumerate(cases.values()))
+    for bad in ("<p class=ad>", "<p class=ad><b>", "<li>", "<li><b>", "<td><p class=ad><tr>", "<div><p class=ad>"):
+        start = time.process_time()
+        html_main.blocks(bad * 100_000)
+        assert time.process_time() - start < 5, bad
+
+
 def labelled(spark):
     rng = random.Random(6)
     calm, bad = [f"calm{i}" for i in range(80)], ["idiot", "moron", "scum"]

@@ -215,12 +215,14 @@ def _open(told: DataFrame) -> DataFrame:
 
 def _matchable(held: DataFrame, percent: int) -> DataFrame:
     """The postings that some posting of another component of their hash may match, by its least n and its largest rest."""
-    each = held.groupBy("token", "comp").agg(F.min("n").alias("n"), F.max("rest").alias("rest"))
-    best = each.groupBy("token").agg(F.min(F.struct("n", "comp")).alias("lo"), F.max(F.struct("rest", "comp")).alias("hi"))
-    both = each.join(best, "token").groupBy("token").agg(
-        F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.min(F.expr("if(comp <> lo.comp, n, null)")).alias("lo2"), F.max(F.expr("if(comp <> hi.comp, rest, null)")).alias("hi2")
-    )
-    both = materialize(both, "join-extremes")
+    each = materialize(held.groupBy("token", "comp").agg(F.min("n").alias("n"), F.max("rest").alias("rest")), "join-each")
+    best = materialize(each.groupBy("token").agg(F.min(F.struct("n", "comp")).alias("lo"), F.max(F.struct("rest", "comp")).alias("hi")), "join-best")
+    # written, joined and written again, so that Spark may split a hot hash of the join and combines it before the next shuffle
+    next_ = each.join(best, "token").select("token", "lo", "hi", F.expr("if(comp <> lo.comp, n, null)").alias("lo2"), F.expr("if(comp <> hi.comp, rest, null)").alias("hi2"))
+    next_ = materialize(next_, "join-next")
+    discard(each, best)
+    both = materialize(next_.groupBy("token").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.min("lo2").alias("lo2"), F.max("hi2").alias("hi2")), "join-extremes")
+    discard(next_)
     near = held.join(both, "token").withColumn("least_n", F.expr("if(comp = lo.comp, lo2, lo.n)")).withColumn("most", F.expr("if(comp = hi.comp, hi2, hi.rest)"))
     return near.where(F.expr(f"{100 + percent} * least(rest, most) >= {percent} * (n + least_n)")).select(*held.columns)
 

@@ -261,6 +261,28 @@ def test_shared_hashes_are_found_whatever_the_chunks(least):
         assert got == want
 
 
+def test_matchable_postings_and_no_minimum_over_a_join(spark, monkeypatch):
+    plans, write = {}, ngram_join.materialize
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(ngram_join, "materialize", noted)
+    rng = random.Random(9)
+    # hash 0 is hot: of 300 components; hash 1 of one only
+    rows = [(t, r, c, n, rng.randint(1, n)) for r, (t, c) in enumerate([(0, k) for k in range(300)] + [(1, 7)] * 5 + [(rng.randint(2, 30), rng.randint(0, 9)) for _ in range(300)]) for n in [rng.randint(4, 40)]]
+    got = ngram_join._matchable(spark.createDataFrame(rows, "token long, ref long, comp long, n int, rest int"), 75).collect()
+    want = set()
+    for t, r, c, n, rest in rows:
+        other = [x for x in rows if x[0] == t and x[2] != c]
+        if other and 175 * min(rest, max(x[4] for x in other)) >= 75 * (n + min(x[3] for x in other)):
+            want.add(r)
+    assert want and len(got) == len(want) and {r["ref"] for r in got} == want
+    # a join whose rows are aggregated by its own key without being written first cannot be split
+    assert "Aggregate" in plans["join-extremes"] and "Join" not in plans["join-extremes"]
+
+
 def test_near_duplicates(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(400)]

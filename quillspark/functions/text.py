@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -165,6 +167,47 @@ def repeated_letters(n: Column) -> Column:
     return F.when(n > 0, F.repeat(F.char(F.lit(97) + (n - 1) % 26), (F.floor((n - 1) / 26) + 1).cast("int")))
 
 
+def repeated_letters_md5(n: Column) -> Column:
+    """The MD5 of repeated_letters(n), without the labels: a running hash of each letter is carried from one length to the next.
+
+    A worker keeps the hashes of some lengths, so all labels together cost about as many bytes as the greatest n, and a
+    label that comes out of order no more than STRIDE bytes besides.
+    """
+
+    @F.pandas_udf("string")
+    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        runs = [RunningHashes(chr(97 + i).encode()) for i in range(26)]
+        for numbers in batches:
+            out = {n: runs[(n - 1) % 26].digest((n - 1) // 26 + 1) for n in sorted(set(numbers.dropna().astype("int64"))) if n > 0}
+            yield numbers.astype("Int64").map(out, na_action="ignore").astype(object)
+
+    return digests(F.when(n <= 26 * (2**31 - 1), n.cast("bigint")))  # a longer label is no string
+
+
+class RunningHashes:
+    """MD5 of one byte repeated, for any number of lengths: each goes on from the longest kept hash that is not longer."""
+
+    STRIDE, KEEP = 4096, 1024  # a hash is kept each so many bytes; twice as far apart whenever there are more than so many
+
+    def __init__(self, byte: bytes):
+        self.block, self.stride, self.kept = byte * self.STRIDE, self.STRIDE, [hashlib.md5(usedforsecurity=False)]
+        self.last, self.length = self.kept[0].copy(), 0
+
+    def digest(self, length: int) -> str:
+        at = min(length // self.stride, len(self.kept) - 1)
+        if not at * self.stride <= self.length <= length:
+            self.last, self.length = self.kept[at].copy(), at * self.stride
+        while self.length < length:
+            step = min(length, (self.length // self.STRIDE + 1) * self.STRIDE) - self.length
+            self.last.update(self.block[:step])
+            self.length += step
+            if self.length == len(self.kept) * self.stride:
+                self.kept.append(self.last.copy())
+                if len(self.kept) > self.KEEP:
+                    self.kept, self.stride = self.kept[::2], self.stride * 2
+        return self.last.hexdigest()
+
+
 def escape_html(text: Column) -> Column:
     for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(plain), F.lit(entity))

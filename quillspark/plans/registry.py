@@ -144,9 +144,10 @@ _LABEL = "repeat(chr((97 + (p_partkey - 1) % 26)::INT), ((p_partkey - 1) // 26 +
     || (CASE WHEN p_partkey > 26 THEN chr((97 + ((p_partkey - 27) // 26) % 26)::INT) ELSE '' END) || (CASE WHEN p_partkey > 0 THEN chr((97 + (p_partkey - 1) % 26)::INT) ELSE '' END) AS letters,
     CASE WHEN p_partkey > 0 THEN length({_LABEL}) END AS n_label, CASE WHEN p_partkey > 0 THEN md5({_LABEL}) END AS label_md5 FROM part""")
 def letter_labels(spark, sf_dir):
-    """Every part's two labels, the long one as length and digest: labels of later pages are kilobytes long."""
-    label = text.repeated_letters(F.col("p_partkey"))
-    return t(spark, sf_dir, "part").select("p_partkey", text.letters(F.col("p_partkey")).alias("letters"), F.length(label).alias("n_label"), F.md5(label).alias("label_md5"))
+    """Every part's two labels, the long one as length and digest: labels of later pages are kilobytes long, so it is not written out."""
+    key = F.col("p_partkey")
+    length = F.when(key > 0, (F.floor((key - 1) / 26) + 1).cast("int"))
+    return t(spark, sf_dir, "part").select("p_partkey", text.letters(key).alias("letters"), length.alias("n_label"), text.repeated_letters_md5(key).alias("label_md5"))
 
 
 @query(rf"""SELECT id, replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS html, regexp_replace(line, '([\\`*_\[\]<>|#])', '\\\1', 'g') AS markdown,

@@ -1,7 +1,9 @@
 """Queries against their DuckDB twins on small tables made for the purpose: ties, nulls, other sizes."""
 
 import duckdb
+import pyspark.sql.functions as F
 
+from quillspark.functions import text
 from quillspark.plans import registry
 
 
@@ -38,3 +40,39 @@ def test_runs_joined_ties(spark, tmp_path):
     rows = "SELECT 1::BIGINT AS l_orderkey, 10::BIGINT AS l_partkey, 9::DOUBLE AS l_quantity, 2::INT AS l_linenumber, f AS l_returnflag FROM (VALUES ('R'), ('A'), ('N')) v(f)"
     differing(spark, tmp_path, "runs_joined", {"lineitem": rows})
     assert [r["joined"] for r in registry.QUERIES["runs_joined"](spark, str(tmp_path)).collect()] == ["2A 2N 2R"]
+
+
+def test_letter_labels(spark, tmp_path):
+    rows = "SELECT k::BIGINT AS p_partkey FROM (SELECT * FROM range(0, 456976, 971) UNION ALL SELECT * FROM (VALUES (1), (26), (27), (1663), (1664), (1665), (106470), (106471), (5), (-3), (27)) ORDER BY 1 DESC) v(k)"
+    assert differing(spark, tmp_path, "letter_labels", {"part": rows}) == ([], [], 0)
+    nulls = spark.sql("SELECT cast(null AS bigint) AS n UNION ALL SELECT -1").select(text.repeated_letters_md5(F.col("n")).alias("d")).collect()
+    assert [r["d"] for r in nulls] == [None, None]
+
+
+def test_letter_labels_cost():
+    """Bytes hashed for labels in any order: the longest one's, and a stride for each label."""
+    runs, hashed = text.RunningHashes(b"a"), []
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def update(self, data):
+            hashed.append(len(data))
+            self.inner.update(data)
+
+        def copy(self):
+            return Counting(self.inner.copy())
+
+        def hexdigest(self):
+            return self.inner.hexdigest()
+
+    runs.last, runs.kept = Counting(runs.last), [Counting(h) for h in runs.kept]
+    lengths = [(i * 7919) % 400_000 for i in range(1, 2000)]
+    want = {n: text.hashlib.md5(b"a" * n).hexdigest() for n in lengths[::100]}
+    got = {n: runs.digest(n) for n in lengths}
+    assert {n: got[n] for n in want} == want
+    assert sum(hashed) <= 400_000 + len(lengths) * runs.STRIDE < sum(lengths) / 40
+    few = text.RunningHashes(b"b")
+    few.KEEP = 3
+    assert [few.digest(n) for n in (70_000, 5000, 33_000, 0, 70_001)] == [text.hashlib.md5(b"b" * n).hexdigest() for n in (70_000, 5000, 33_000, 0, 70_001)] and len(few.kept) <= 3

@@ -39,8 +39,16 @@ def count_of(text: Column, ranges: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{ranges}]+", ""))
 
 
+def _ascii_apart(text: Column) -> tuple[Column, Column]:
+    """How many ASCII letters a text holds, and its other characters beyond ASCII, in which alone the scripts are looked for."""
+    strong = F.regexp_replace(text, r"[\x00-@\[-`{-\x7F]+", "")
+    other = F.regexp_replace(strong, "[A-Za-z]+", "")
+    return F.length(strong) - F.length(other), other
+
+
 def script_tallies(text: Column) -> dict[str, Column]:
-    return {name: count_of(text, ranges) for name, ranges in SCRIPT_RANGES.items()}
+    letters, other = _ascii_apart(text)
+    return {name: count_of(other, ranges) + (letters if name == "latin" else 0) for name, ranges in SCRIPT_RANGES.items()}
 
 
 def dominant_script(tallies: dict[str, Column]) -> Column:

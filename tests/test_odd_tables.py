@@ -76,3 +76,16 @@ def test_letter_labels_cost():
     few = text.RunningHashes(b"b")
     few.KEEP = 3
     assert [few.digest(n) for n in (70_000, 5000, 33_000, 0, 70_001)] == [text.hashlib.md5(b"b" * n).hexdigest() for n in (70_000, 5000, 33_000, 0, 70_001)] and len(few.kept) <= 3
+
+
+ODD_LINES = ["שלוaם", "abשל", "abcשלוםא", "é", "ÀÉשל", "Жשa", "日本aあ", "ab日本", "Ωx", "x Ωω", "\u200f 12", "ſƀ", "", " ", "Ж\u0600", "\U0001F600", "a  \u2028", "b \u0085", "c \u0001", "א \r", "ﬁ", "\ufeffא"]
+
+
+def test_scripts(spark, tmp_path):
+    """Lines in which two scripts or directions are level, or nothing is strong; and white space before other line ends."""
+    texts = [*ODD_LINES, "\n".join(ODD_LINES)]
+    values = ", ".join(f"({i}, '{s}')" for i, s in enumerate(texts))
+    tables = {"documents": f"SELECT i::BIGINT AS doc_id, s::VARCHAR AS text FROM (VALUES {values}) v(i, s)"}
+    for name in ("script_tallies",):
+        (tmp_path / name).mkdir()
+        assert (name, differing(spark, tmp_path / name, name, tables)) == (name, ([], [], 0))

@@ -51,6 +51,11 @@ def script_tallies(text: Column) -> dict[str, Column]:
     return {name: count_of(other, ranges) + (letters if name == "latin" else 0) for name, ranges in SCRIPT_RANGES.items()}
 
 
+def _most(*choices: tuple[Column, str]) -> Column:
+    """The name of the greatest count, the first of equals; each count stands in the expression once, so it is taken once."""
+    return F.greatest(*[F.struct(n.alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (n, name) in enumerate(choices)])["name"]
+
+
 def dominant_script(tallies: dict[str, Column]) -> Column:
     """The script counted most; the order of SCRIPT_RANGES breaks ties; "other" if nothing was counted."""
     top = F.greatest(*tallies.values())
@@ -61,11 +66,16 @@ def dominant_script(tallies: dict[str, Column]) -> Column:
 
 
 def direction(text: Column) -> Column:
-    """rtl if strictly more strong characters run right to left; neutral if there are none; else ltr."""
-    tallies = script_tallies(text)
-    rtl = sum((tallies[s] for s in RTL), F.lit(0))
-    ltr = sum((c for s, c in tallies.items() if s not in RTL), F.lit(0))
-    return F.when(rtl + ltr == 0, "neutral").when(rtl > ltr, "rtl").otherwise("ltr")
+    """rtl if strictly more strong characters run right to left; neutral if there are none; else ltr.
+
+    They are counted only where some run right to left.
+    """
+    to_left = "".join(SCRIPT_RANGES[s] for s in RTL)
+    to_right = "".join(r for s, r in SCRIPT_RANGES.items() if s not in RTL)
+    found = count_of(F.regexp_replace(text, r"[\x00-\x7F]+", ""), to_left)
+    letters, other = _ascii_apart(text)
+    counted = _most((count_of(other, to_right) + letters, "ltr"), (count_of(other, to_left), "rtl"))
+    return F.when(found > 0, counted).when(~text.rlike(f"[{to_right}]"), "neutral").otherwise("ltr")
 
 
 def language_guess(script: Column, text: Column) -> Column:

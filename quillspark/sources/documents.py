@@ -15,7 +15,7 @@ DELIMITERS = (",", ";", "\t", "|")
 def lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each line of each text, right-trimmed, numbered from 0; a blank line stays."""
     split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    return df.select(key, F.posexplode(split).alias("line_no", "line")).withColumn("line", F.regexp_replace("line", r"[ \t\r\f]+$", ""))
+    return df.select(key, F.posexplode(split).alias("line_no", "line")).withColumn("line", F.rtrim("line", F.lit(" \t\r\f")))
 
 
 def matches_of(text: Column, pattern: str, group: int = 1) -> Column:

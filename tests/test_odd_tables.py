@@ -86,6 +86,6 @@ def test_scripts(spark, tmp_path):
     texts = [*ODD_LINES, "\n".join(ODD_LINES)]
     values = ", ".join(f"({i}, '{s}')" for i, s in enumerate(texts))
     tables = {"documents": f"SELECT i::BIGINT AS doc_id, s::VARCHAR AS text FROM (VALUES {values}) v(i, s)"}
-    for name in ("script_tallies",):
+    for name in ("script_tallies", "run_direction", "text_to_lines"):
         (tmp_path / name).mkdir()
         assert (name, differing(spark, tmp_path / name, name, tables)) == (name, ([], [], 0))

@@ -58,11 +58,14 @@ def _most(*choices: tuple[Column, str]) -> Column:
 
 def dominant_script(tallies: dict[str, Column]) -> Column:
     """The script counted most; the order of SCRIPT_RANGES breaks ties; "other" if nothing was counted."""
-    top = F.greatest(*tallies.values())
-    out = F.lit("other")
-    for name in reversed(tallies):
-        out = F.when((top > 0) & (tallies[name] == top), name).otherwise(out)
-    return out
+    return _most((F.lit(0), "other"), *[(n, name) for name, n in tallies.items()])
+
+
+def script(text: Column) -> Column:
+    """The dominant script of a text; its letters are counted only where some are of another script than Latin."""
+    other = F.regexp_replace(text, r"[\x00-\x7F]+", "")
+    foreign = count_of(other, "".join(r for s, r in SCRIPT_RANGES.items() if s != "latin"))
+    return F.when(foreign > 0, dominant_script(script_tallies(text))).when(text.rlike(f"[{SCRIPT_RANGES['latin']}]"), "latin").otherwise("other")
 
 
 def direction(text: Column) -> Column:

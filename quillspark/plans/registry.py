@@ -99,7 +99,7 @@ _SCRIPT = "CASE " + f"WHEN {_TOP} = 0 THEN 'other' " + " ".join(f"WHEN {tally_sq
 @query(f"""SELECT id, script, CASE WHEN script = 'arabic' THEN 'ar' WHEN script = 'hebrew' THEN 'he' WHEN script = 'cjk' AND regexp_matches(line, '[{text.KANA}]') THEN 'ja'
     WHEN script = 'cjk' THEN 'zh' END AS lang FROM (SELECT *, {_SCRIPT} AS script FROM {ALL_LINES_SQL})""")
 def document_language(spark, sf_dir):
-    rows = all_lines(spark, sf_dir).withColumn("script", text.dominant_script(text.script_tallies(F.col("line"))))
+    rows = all_lines(spark, sf_dir).withColumn("script", text.script(F.col("line")))
     return rows.select("id", "script", text.language_guess(F.col("script"), F.col("line")).alias("lang"))
 
 

@@ -26,6 +26,19 @@ def as_of(facts: DataFrame, starts: DataFrame, at: str, start: str, keys: list[s
     return both.select(*keys, "__fact.*", *[F.col(f"__told.{c}").alias(c) for c in take])
 
 
+#: How many rows a task gets where a step holds several sorted copies of them.
+TASK_ROWS = 300_000
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df dealt by its keys over as many tasks as its rows need, so that a task's memory does not grow with the input.
+
+    Narrow rows of rising keys are a few bytes each in a shuffle, by which adaptive execution would put millions in a task.
+    Counting the rows of a table reads none of its columns.
+    """
+    return df.repartition(max(1, -(-df.count() // TASK_ROWS)), *keys)
+
+
 def renumber(df: DataFrame, keys: list[str], order: list[Column | str], out: str, start: int = 0) -> DataFrame:
     return df.withColumn(out, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1 + start).cast("int"))
 

@@ -81,10 +81,13 @@ def fold_outline(df: DataFrame, level: str, partition: list[str], index: str) ->
     `index` counts a group's entries from 0. A depth is at most one more than the depth before it, so depth minus index
     is the least of 0 and level minus index so far: a running minimum, without a loop.
     """
-    from .relations import as_of
-
     w = Window.partitionBy(*partition).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
     depth = F.col(index) + F.least(F.lit(0), F.min(F.col(level) - F.col(index)).over(w))
-    rows = df.withColumn("depth", depth.cast("int"))
-    starts = rows.select(*partition, (F.col("depth") + 1).alias("depth"), F.col(index).alias("__start"), F.col(index).alias("parent"))
-    return as_of(rows, starts, index, "__start", [*partition, "depth"], ["parent"])
+    rows = df.withColumn("__depth", depth.cast("int"))
+    # Each entry stands twice: as itself, and, without what it carries, as the parent of those one deeper.
+    twice = rows.withColumn("__own", F.explode(F.array(F.lit(True), F.lit(False))))
+    carried = [F.when(F.col("__own"), F.col(c)).alias(c) for c in df.columns if c not in (*partition, index)]
+    marked = twice.select(*partition, index, *carried, "__own", F.when(F.col("__own"), F.col("__depth")).otherwise(F.col("__depth") + 1).alias("depth"))
+    under = Window.partitionBy(*partition, "depth").orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
+    parent = F.last(F.when(~F.col("__own"), F.col(index)), ignorenulls=True).over(under)
+    return marked.withColumn("parent", parent).where("__own").select(*df.columns, "depth", "parent")

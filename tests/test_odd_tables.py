@@ -4,6 +4,7 @@ import duckdb
 import pyspark.sql.functions as F
 
 from quillspark.functions import text
+from quillspark.operators import relations
 from quillspark.plans import registry
 
 
@@ -100,3 +101,11 @@ def test_scripts_counted_once(spark):
     """A tally stands in the choice of a script once: with each tally six times over, 78 passes went over a line."""
     script = text.dominant_script({n: F.length(F.regexp_replace("t", n, "")) for n in text.SCRIPT_RANGES})
     assert str(script).count("regexp_replace") == len(text.SCRIPT_RANGES)
+
+
+def test_outline_fold(spark, tmp_path, monkeypatch):
+    """Small tasks give the same outlines, and are dealt by rows: 12 of 40 at most, however few bytes they have."""
+    monkeypatch.setattr(relations, "TASK_ROWS", 40)
+    rows = "SELECT i * 7 % 1009 AS o_orderkey, CASE WHEN i % 10 < 5 THEN 3 ELSE i % 23 END AS o_custkey FROM range(457) r(i)"
+    assert differing(spark, tmp_path, "outline_fold", {"orders": rows}) == ([], [], 0)
+    assert registry.QUERIES["outline_fold"](spark, str(tmp_path)).rdd.getNumPartitions() == 12
